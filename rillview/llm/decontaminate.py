@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, K = 10, 5
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-EITHER_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORDS = r"[a-z0-9\x80-\x{10FFFF}]++"  # as [^\x00-\x2F\x3A-\x60\x7B-\x7F]+, with the likeliest range tried first
+EITHER_CASE = r"[a-zA-Z0-9\x80-\x{10FFFF}]++"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of benchmark fingerprints (16 bytes each) or windows (about 100 bytes) up to which they are broadcast; beyond, the joins shuffle.
 BROADCAST_ROWS = 100_000
