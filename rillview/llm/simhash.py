@@ -91,12 +91,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fingerprint, component_id for every row."""
-    rows = stored(fingerprints(docs.select("doc_id", "text"), words))
+def _grouped(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """docs with fp instead of text; and fp, root (its component's smallest fingerprint), first (its smallest doc_id)."""
+    rows = stored(fingerprints(docs, words))
     least = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     rooted = components(links(least.select("fp")))
-    placed = least.join(rooted, least.fp == rooted.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return rows, least.join(rooted, least.fp == rooted.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id, fingerprint, component_id for every row."""
+    rows, placed = _grouped(docs.select("doc_id", "text"), words)
     # the components' smallest ids; only fingerprints with links can differ from their own
     root = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     whose = placed.select("fp", "root").join(root, "root").select("fp", "component_id")
@@ -104,8 +109,11 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The row of docs with the smallest doc_id of each component (one of its repeated rows), and all rows without an id; with the columns of docs."""
-    found = near_duplicates(docs, words).filter("doc_id = component_id").select(F.col("doc_id").alias("the_first")).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull())
-    first = named.join(found, named["doc_id"] == found["the_first"], "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The row of docs with the smallest doc_id of each component (if that id has several texts in it, the one with the least hash; one of its repeated rows), and all rows without an id; with the columns of docs."""
+    rows, placed = _grouped(docs.select("doc_id", "text", F.xxhash64("text").alias("bits")), words)
+    named = rows.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "bits")).alias("least"))
+    first = named.join(placed.select("fp", "root"), "fp").groupBy("root").agg(F.min("least").alias("least"))
+    first = first.select(F.col("least.doc_id").alias("f_id"), F.col("least.bits").alias("f_bits"))
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").alias("the_id"), F.xxhash64("text").alias("the_bits"))
+    kept = keyed.filter("the_id IS NOT NULL").join(first, (F.col("the_id") == F.col("f_id")) & (F.col("the_bits") == F.col("f_bits")), "left_semi").dropDuplicates(["the_id", "the_bits"])
+    return kept.unionByName(keyed.filter("the_id IS NULL")).drop("the_id", "the_bits").toDF(*docs.columns)

@@ -219,12 +219,13 @@ def _own_ranges(text: str | None, spans: list[dict] | None) -> tuple[bytes, list
     return data, covered([s for s in spans if s["place"] & ((1 << TEXT_BITS) - 1) == bits], len(data))
 
 
-def _kept(data: bytes, ranges: list[tuple[int, int]]) -> bytes:
+def _kept(data: bytes, ranges: list[tuple[int, int]]) -> list[bytes]:
+    """What lies between the ranges."""
     at, parts = 0, []
     for a, z in ranges:
         parts.append(data[at:a])
         at = z
-    return b"".join([*parts, data[at:]])
+    return [*parts, data[at:]]
 
 
 def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -236,7 +237,7 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
             done = [_own_ranges(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(d) for d, _ in done], pa.int64()), pa.array([sum(z - a for a, z in r) for _, r in done], pa.int64()),
-                pa.array([len(r) for _, r in done], pa.int64()), pa.array([hashlib.sha256(_kept(d, r)).hexdigest() for d, r in done], pa.string()),
+                pa.array([len(r) for _, r in done], pa.int64()), pa.array([hashlib.sha256(b"".join(_kept(d, r))).hexdigest() for d, r in done], pa.string()),
             ], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
@@ -244,9 +245,10 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 def without_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """docs with repeated bytes cut out of `text`; a text of which nothing but white space is left goes, if anything was cut. A range that begins or ends within a character takes the character's remaining bytes along. n_chars, if there, is counted anew."""
-    frame = _with_spans(docs, crowd)
-    at = frame.columns.index("text")
-    n = len(docs.columns)
+    at, n = docs.columns.index("text"), len(docs.columns)
+    # the columns under names of our own, as those of docs may be anything
+    named = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns)])
+    frame = _with_spans(named, crowd).drop("doc_id", "text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +256,7 @@ def without_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
             texts, keep = [], []
             for t, s in zip(batch.column(at).to_pylist(), batch.column(n).to_pylist(), strict=True):
                 data, ranges = _own_ranges(t, s)
-                left = _kept(data, ranges).decode("utf-8", "ignore") if ranges else t
+                left = "".join(p.decode("utf-8", "ignore") for p in _kept(data, ranges)) if ranges else t  # part by part: no new character arises at a cut
                 texts.append(left)
                 keep.append(not ranges or bool(left.strip()))
             columns = list(batch.columns[:n])
@@ -263,4 +265,4 @@ def without_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
                 columns[chars] = pa.array([old if new == t else len(new or "") for old, new, t in zip(columns[chars].to_pylist(), texts, batch.column(at).to_pylist(), strict=True)], batch.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(i) for i in range(n)])).filter(pa.array(keep))
 
-    return frame.mapInArrow(run, docs.schema)
+    return frame.mapInArrow(run, named.drop("doc_id", "text").schema).toDF(*docs.columns)
