@@ -86,7 +86,7 @@ rules("q_tc_linear_left", ("parent",), "tc(?x, ?y) <- [parent(?x, ?y)], tc(?x, ?
 rules("q_tc_nonlinear", ("parent",), "tc(?x, ?y) <- [parent(?x, ?y)], tc(?x, ?z) <- [tc(?x, ?y), tc(?y, ?z)]", "tc", None, PARENT_TC, True)
 rules("q_tc_cyclic", ("ring",), RING_TC, "tc", None, "@" + closure("ring") + " SELECT c0, c1 FROM tc", True)
 rules("q_mutual_even_odd", ("ring",), "odd(?x, ?y) <- [ring(?x, ?y)], even(?x, ?z) <- [odd(?x, ?y), ring(?y, ?z)], odd(?x, ?z) <- [even(?x, ?y), ring(?y, ?z)]", "even", None, "@walk(c0, c1, odd) AS (SELECT c0, c1, 1 FROM ring UNION SELECT walk.c0, ring.c1, 1 - odd FROM walk JOIN ring ON walk.c1 = ring.c0) SELECT DISTINCT c0, c1 FROM walk WHERE odd = 0", True)
-rules("q_same_generation", ("small_parent",), "sg(?x, ?y) <- [small_parent(?x, ?p), small_parent(?y, ?p)], sg(?x, ?y) <- [small_parent(?x, ?p), sg(?p, ?q), small_parent(?y, ?q)]", "sg", None, "@sg(c0, c1) AS (SELECT a.c0, b.c0 FROM small_parent a JOIN small_parent b ON a.c1 = b.c1 UNION SELECT a.c0, b.c0 FROM sg JOIN small_parent a ON a.c1 = sg.c0 JOIN small_parent b ON b.c1 = sg.c1) SELECT c0, c1 FROM sg", True)
+rules("q_same_generation", ("parent",), "sg(?x, ?y) <- [parent(?x, ?p), parent(?y, ?p)], sg(?x, ?y) <- [parent(?x, ?p), sg(?p, ?q), parent(?y, ?q)]", "sg", None, "@sg(c0, c1) AS (SELECT a.c0, b.c0 FROM parent a JOIN parent b ON a.c1 = b.c1 UNION SELECT a.c0, b.c0 FROM sg JOIN parent a ON a.c1 = sg.c0 JOIN parent b ON b.c1 = sg.c1) SELECT c0, c1 FROM sg", True)
 rules("q_rdf_type", ("rdf",), 'type(?o) <- [rdf(?s, "rdf:type", ?o)]', "type", None, "SELECT DISTINCT c2 AS c0 FROM rdf WHERE c1 = 'rdf:type'")
 rules("q_rdfs_subclass", ("rdf",), 'sub(?s, ?o) <- [rdf(?s, "rdf:type", ?o)], sub(?s, ?o) <- [rdf(?s, "in", ?o)], sub(?s, ?t) <- [sub(?s, ?o), sub(?o, ?t)]', "sub", None, "@e AS (SELECT c0, c2 AS c1 FROM rdf), " + closure("e") + " SELECT c0, c1 FROM tc", True)
 rules("q_view_over_view", ("parent",), TC + ", tc1(97, ?y) <- [tc(97, ?y)]", "tc1", None, "@" + closure("parent") + " SELECT c0, c1 FROM tc WHERE c0 = 97", True)

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 #: name -> (table, SELECT list, condition); the same SQL runs on Spark and DuckDB. div(a, 2) is written as (a - a % 2) / 2, cast.
 RELATIONS: dict[str, str] = {
     "parent": "SELECT DISTINCT p_partkey AS c0, CAST((p_partkey - p_partkey % 2) / 2 AS BIGINT) AS c1 FROM part WHERE p_partkey > 0",
-    "small_parent": "SELECT DISTINCT p_partkey AS c0, CAST((p_partkey - p_partkey % 2) / 2 AS BIGINT) AS c1 FROM part WHERE p_partkey > 0 AND p_partkey < 256",
     "ring": "SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS c0, CAST((n_nationkey * 7 + 1) % 25 AS BIGINT) AS c1 FROM nation",
     "in_region": "SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS c0, CAST(n_regionkey AS BIGINT) AS c1 FROM nation",
     "region_key": "SELECT DISTINCT CAST(r_regionkey AS BIGINT) AS c0 FROM region",
