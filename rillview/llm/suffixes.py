@@ -37,7 +37,8 @@ CROWD = 2000
 TEXT_BITS = 20
 #: A run's length and its anchor's offset are packed.
 PACK = 128
-SORT_BYTES = 4 << 20
+#: Bytes of contexts that are laid end to end and sorted at once (about 40 times that in memory); a single anchor may need more.
+SORT_BYTES = 1 << 20
 
 
 def words_at(b: np.ndarray) -> np.ndarray:
