@@ -2,9 +2,10 @@
 
 Labelled tokens come from labelled documents: from a bounded sample of learning rows, a cover of marker features (whole
 words or prefixes that stand in toxic and hardly in other texts) is chosen greedily, and a word of a toxic text that
-carries a marker is labelled 1. A chain of two states is fitted to these labels by gradient ascent on the conditional
-likelihood. Forward-backward gives every word of every text its marginal; a logistic function of a text's marginals,
-corrected to the share of toxic rows among all learning rows, is its score, and words at or over 0.5 are its spans.
+carries a marker is labelled 1; the fewer toxic texts a feature stands in, the surer it must be. A chain of two states is fitted to these labels by gradient ascent on the conditional
+likelihood. Forward-backward gives every word of every text its marginal; a logistic function of a text's marginals and
+their number, corrected to the share of toxic rows among all learning rows, is its score, and words at or over 0.5 are its
+spans.
 
 The chain's messages are ratios that pass through 2x2 matrices, so texts of a batch are laid end to end with resets and
 scanned in blocks: products within all blocks at once, then over the blocks, then within again (exact, no cut of texts).
@@ -30,7 +31,7 @@ from rillview.llm.common import chunks, fold
 WORD = re.compile(r"\w+")
 BLOCK = 512
 REMEMBERED = 200_000
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 
 
 def word_features(word: str) -> list[str]:
@@ -111,7 +112,7 @@ def _starts(texts: list[list[str]]) -> np.ndarray:
 class Chain:
     def __init__(self, weights: dict[str, tuple[float, float, float]], bias: float, a: np.ndarray):
         self.weights, self.bias, self.a = weights, bias, a
-        self.coef = np.zeros(3)
+        self.coef = np.zeros(4)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "memory"}
@@ -132,9 +133,10 @@ class Chain:
         return forward_backward(s, starts, self.a)[0]
 
     def summary(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text: 1, the log odds of its highest marginal, the log of the sum of marginals; and all marginals."""
+        """For each text: 1, the log odds of its highest marginal, the logs of the sum and the number of marginals; and all marginals."""
         p = self.marginals(texts)
-        out = np.tile([1.0, -8.0, 0.0], (len(texts), 1))
+        out = np.tile([1.0, -8.0, 0.0, 0.0], (len(texts), 1))
+        out[:, 3] = np.log1p([len(t) for t in texts])
         if len(p):
             some = np.array([bool(t) for t in texts])
             starts = _starts(texts)
@@ -144,13 +146,13 @@ class Chain:
         return out, p
 
 
-def markers(texts: list[set[str]], toxic: np.ndarray, least: int, ratio: float) -> set[str]:
-    """Greedy cover: features that mark texts which no feature before marks, while they mark `least` new ones."""
+def markers(texts: list[set[str]], toxic: np.ndarray, least: int, ratio: float, often_ratio: float) -> set[str]:
+    """Greedy cover: features that mark texts which no feature before marks, while they mark `least` new ones. They stand `ratio` times as often in toxic texts as in others, those in 5 * `least` toxic texts `often_ratio` times."""
     bad, good = Counter(), Counter()
     for t, y in zip(texts, toxic, strict=True):
         (bad if y else good).update(t)
     n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
-    able = {f for f, n in bad.items() if n >= least and (n / n1) / ((good[f] + 0.5) / n0) >= ratio}
+    able = {f for f, n in bad.items() if n >= least and (n / n1) / ((good[f] + 0.5) / n0) >= (ratio if n < 5 * least else often_ratio)}
     where: dict[str, set[int]] = {f: set() for f in able}
     for i in np.flatnonzero(toxic):
         for f in texts[i] & able:
@@ -167,9 +169,9 @@ def markers(texts: list[set[str]], toxic: np.ndarray, least: int, ratio: float)
     return chosen | {f for f, own in where.items() if len(own) >= max(10 * least, len(toxic) // 50)}
 
 
-def fit(texts: list[list[str]], toxic: np.ndarray, share: float, rounds: int = 60, least: int = 4, ratio: float = 30.0) -> Chain:
+def fit(texts: list[list[str]], toxic: np.ndarray, share: float, rounds: int = 60, least: int = 4, ratio: float = 30.0, often_ratio: float = 8.0) -> Chain:
     sets = [{f for w in set(t) for f in word_features(w)} for t in texts]
-    marks = markers(sets, toxic, least, ratio)
+    marks = markers(sets, toxic, least, ratio, often_ratio)
     frequent = Counter(f for t in sets for f in t)
     known = sorted(f for f, n in frequent.items() if n >= 3)
     number = {f: i for i, f in enumerate(known)}
