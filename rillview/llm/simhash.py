@@ -108,11 +108,19 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.join(whose, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The row of docs with the smallest doc_id of each component (if that id has several texts in it, the one with the least hash; one of its repeated rows), and all rows without an id; with the columns of docs."""
-    rows, placed = _grouped(docs.select("doc_id", "text", F.xxhash64("text").alias("bits")), words)
+def one_of_each(docs: DataFrame, words: int = 3, similarity: float | None = None) -> DataFrame:
+    """The row of docs with the smallest doc_id of each component (if that id has several texts in it, the one with the least hash; one of its repeated rows), and all rows without an id; with the columns of docs.
+
+    Without `similarity`, components of fingerprints; with it, of texts whose shingle sets have at least that Jaccard similarity."""
+    if similarity is None:
+        rows, placed = _grouped(docs.select("doc_id", "text", F.xxhash64("text").alias("bits")), words)
+    else:
+        from rillview.llm.similar import similar_links
+
+        rows = docs.select("doc_id", F.xxhash64("text").alias("bits"), F.xxhash64("text").alias("fp"))
+        placed = components(similar_links(docs.select("text"), words, similarity)).select(F.col("node").alias("fp"), "root")
     named = rows.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "bits")).alias("least"))
-    first = named.join(placed.select("fp", "root"), "fp").groupBy("root").agg(F.min("least").alias("least"))
+    first = named.join(placed.select("fp", "root"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
     first = first.select(F.col("least.doc_id").alias("f_id"), F.col("least.bits").alias("f_bits"))
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").alias("the_id"), F.xxhash64("text").alias("the_bits"))
     kept = keyed.filter("the_id IS NOT NULL").join(first, (F.col("the_id") == F.col("f_id")) & (F.col("the_bits") == F.col("f_bits")), "left_semi").dropDuplicates(["the_id", "the_bits"])
