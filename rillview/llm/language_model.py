@@ -1,12 +1,14 @@
 """Document log-likelihood under a gated recurrent language model in numpy.
 
 A gated recurrent unit reads a text's tokens; its state predicts the next token's class, then the token within the class
-(classes of equal size by frequency). It is fitted on a bounded sample of learning rows by truncated backpropagation; when
+(classes of equal size by frequency). It is begun on a sample of learning rows by truncated backpropagation; then every partition
+goes on from there over all its learning rows, each token once, and the parameters are averaged by the partitions' tokens. When
 texts are scored, the state is carried from window to window through each whole text, however long.
 
-The model's words are the sample's most frequent `model_words`. Any other token has the probability of the model's unknown
+The model's words are the most frequent of all learning rows: `model_words` up to `sample` rows, and by the root of the rows' number more
+beyond. Any other token has the probability of the model's unknown
 symbol times (c + 1) / Z, where c is its count in all learning rows and Z sums c + 1 over all such tokens and one for what was never
-seen. Counts cover the whole corpus: tokens among the sample's `listed` most frequent are counted within tasks, all others
+seen. Counts cover the whole corpus: tokens among the `listed` most frequent are counted within tasks, all others
 meet by their 64-bit hash in a shuffle; as that hash stands for the token, two tokens with one hash would count as one.
 
 Defined cases: null and empty texts hold only the end token; without learning rows all counts are 0 and the model is
@@ -16,6 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,6 +32,8 @@ from rillview.llm.common import chunks, fold, stored
 
 UNKNOWN, END = 0, 1
 LANES, STEPS = 1024, 32
+#: Parameters that are averaged at once.
+BLOCK = 4096
 END_HASH = 0x7265_6375_7272_656E  # stands for the end token
 
 
@@ -39,6 +44,7 @@ def tokens(text: str | None) -> list[bytes]:
 class Gru:
     def __init__(self, words: int, hidden: int = 16, per_class: int = 64, seed: int = 3):
         rng = np.random.default_rng(seed)
+        self.squares: dict[str, np.ndarray] = {}
         self.h, self.per = hidden, per_class
         self.classes = -(-words // per_class)
         n = self.classes * per_class
@@ -71,44 +77,69 @@ class Gru:
                 out[rows] += a[np.arange(len(rows)), target[rows] - c * self.per] - np.log(np.exp(a).sum(1))
         return out
 
-    def fit(self, texts: list[np.ndarray], updates: int, lanes: int = 64, steps: int = 16, rate: float = 0.1) -> None:
-        """AdaGrad over windows of `steps` tokens; states are carried from window to window, gradients are not."""
+    def fit(self, texts: list[np.ndarray], updates: int, lanes: int = 64, steps: int = 16) -> None:
+        """`updates` windows of `steps` tokens, from the start again at the end; states are carried from window to window, gradients are not."""
         stream = np.concatenate([np.append(t, END) for t in texts]) if texts else np.zeros(0, np.int64)
         width = len(stream) // lanes
         if width < 2:
             return
         grid = stream[: width * lanes].reshape(lanes, width)
-        squares = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
         h, at = np.zeros((lanes, self.h), np.float32), 0
         for _ in range(updates):
             if at + steps + 1 > width:
                 at, h = 0, np.zeros_like(h)
-            kept, states = [], []
-            for t in range(steps):
-                now = grid[:, at + t]
-                before = np.where((now == END)[:, None], 0, h).astype(np.float32)  # a new text begins
-                h, *rest = self.step(self.p["x"][now], before)
-                kept.append((now, before, *rest))
-                states.append(h)
-            hs, target = np.concatenate(states), grid[:, at + 1 : at + steps + 1].T.reshape(-1)
-            g = {key: np.zeros_like(v) for key, v in self.p.items()}
-            dh_all = self._output_gradient(hs, target, g)
-            dh = np.zeros_like(h)
-            for t in reversed(range(steps)):
-                now, before, r, z, n, hun = kept[t]
-                dh = dh + dh_all[t * lanes : (t + 1) * lanes]
-                dn, dz = dh * (1 - z) * (1 - n * n), dh * (before - n) * z * (1 - z)
-                dr = dn * hun * r * (1 - r)
-                du = np.hstack([dr, dz, dn * r])
-                np.add.at(g["x"], now, np.hstack([dr, dz, dn]))
-                g["u"] += before.T @ du
-                dh = np.where((now == END)[:, None], 0, dh * z + du @ self.p["u"].T)
-            for key, v in g.items():
-                v /= len(target) ** 0.5
-                squares[key] += v * v
-                self.p[key] -= np.float32(rate) * np.clip(v, -1, 1) / np.sqrt(squares[key])
+            h = self._window(grid[:, at : at + steps + 1], h)
             at += steps
 
+    def read(self, stream: np.ndarray, lanes: int = 256, steps: int = 16) -> None:
+        """Learns from every token of the stream once."""
+        width = -(-len(stream) // lanes) + 1
+        grid = np.full((lanes, width), END)
+        grid[:, 0] = END  # each lane begins behind the token before it
+        own = np.append(stream, np.full(lanes * (width - 1) - len(stream), END)).reshape(lanes, width - 1)
+        grid[:, 1:] = own
+        grid[1:, 0] = own[:-1, -1]
+        h = np.zeros((lanes, self.h), np.float32)
+        for at in range(0, width - 1, steps):
+            h = self._window(grid[:, at : at + steps + 1], h)
+
+    def _window(self, grid: np.ndarray, h: np.ndarray, rate: float = 0.1) -> np.ndarray:
+        """One AdaGrad step over a window, whose last column is only a target; the state behind it."""
+        lanes, steps = len(grid), grid.shape[1] - 1
+        for key, v in self.p.items():
+            if key not in self.squares:
+                self.squares[key] = np.full_like(v, 1e-6)
+        kept, states = [], []
+        for t in range(steps):
+            now = grid[:, t]
+            before = np.where((now == END)[:, None], 0, h).astype(np.float32)  # a new text begins
+            h, *rest = self.step(self.p["x"][now], before)
+            kept.append((now, before, *rest))
+            states.append(h)
+        hs, target = np.concatenate(states), grid[:, 1:].T.reshape(-1)
+        g = {key: np.zeros_like(v) for key, v in self.p.items() if key != "x"}
+        dh_all = self._output_gradient(hs, target, g)
+        dh, dx = np.zeros_like(h), [None] * steps
+        for t in reversed(range(steps)):
+            now, before, r, z, n, hun = kept[t]
+            dh = dh + dh_all[t * lanes : (t + 1) * lanes]
+            dn, dz = dh * (1 - z) * (1 - n * n), dh * (before - n) * z * (1 - z)
+            dr = dn * hun * r * (1 - r)
+            du = np.hstack([dr, dz, dn * r])
+            dx[t] = np.hstack([dr, dz, dn])
+            g["u"] += before.T @ du
+            dh = np.where((now == END)[:, None], 0, dh * z + du @ self.p["u"].T)
+        # of x only the rows of the window's words change
+        words, place = np.unique(grid[:, :-1].T.reshape(-1), return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        g["x"] = np.add.reduceat(np.concatenate(dx)[order], np.searchsorted(place[order], np.arange(len(words))), axis=0).astype(np.float32)
+        for key, v in g.items():
+            at = words if key == "x" else slice(None)
+            v /= len(target) ** 0.5
+            self.squares[key][at] += v * v
+            self.p[key][at] -= np.float32(rate) * np.clip(v, -1, 1) / np.sqrt(self.squares[key][at])
+        return h
+
     def _output_gradient(self, h: np.ndarray, target: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
         cls = target // self.per
         a = h @ self.p["c"] + self.p["cb"]
@@ -160,20 +191,19 @@ class Gru:
 
 
 class Model:
-    """number: token -> place among the `listed` tokens (END included); those below `model_words` are the network's own."""
+    """number: token -> place among the `listed` tokens (END included); those below `own` are the network's own."""
 
-    def __init__(self, sample: list[str | None], model_words: int, listed: int, updates: int):
-        cut = [tokens(t) for t in sample]
-        counts = Counter(w for t in cut for w in t)
-        common = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: listed - 2]
-        self.number = {w: i + 2 for i, (w, _) in enumerate(common)}
+    def __init__(self, common: list[bytes], model_words: int):
+        """common: the most frequent tokens, in order."""
+        self.number = {w: i + 2 for i, w in enumerate(common)}
         self.own = min(model_words, len(common) + 2)
-        self.gru = Gru(self.own)
-        if cut:
-            self.gru.fit([np.array([n if (n := self.number.get(w, 0)) < self.own else UNKNOWN for w in t], dtype=np.int64) for t in cut], updates)
+        self.gru = Gru(self.own, per_class=max(64, round(self.own**0.5)))
         self.hashes = np.zeros(len(common) + 2, np.int64)
         self.hashes[END] = END_HASH
-        self.hashes[2:] = [_hash(w) for w, _ in common]
+        self.hashes[2:] = [_hash(w) for w in common]
+
+    def own_numbers(self, text: str | None) -> np.ndarray:
+        return np.array([n if (n := self.number.get(w, 0)) < self.own else UNKNOWN for w in tokens(text)], dtype=np.int64)
 
 
 def _hash(word: bytes) -> int:
@@ -189,17 +219,73 @@ def _text_bits(text: str | None) -> int:
     return xxhash.xxh32_intdigest((text or "").encode("utf-8", "replace")) >> 1
 
 
+def most_frequent(learning: DataFrame, n: int) -> list[bytes]:
+    """The n most frequent tokens of all rows, most frequent first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
+
+        for batch in chunks(batches, 0):
+            for t in batch.column(0).to_pylist():
+                held.update(tokens(t))
+            if len(held) > 200_000:
+                yield done()
+                held.clear()
+        if held:
+            yield done()
+
+    counts = learning.select("text").mapInArrow(count, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return counts.orderBy(F.desc("n"), "token").limit(n).toArrow().column("token").to_pylist()
+
+
+def learn_all(model: Model, learning: DataFrame) -> None:
+    """Each partition goes on from the model over all its rows; the model takes the mean of the results, weighted by tokens."""
+    shared = learning.sparkSession.sparkContext.broadcast(model)
+    sizes = {k: v.size for k, v in model.gru.p.items()}
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, seen = shared.value, 0
+        gru = copy.deepcopy(m.gru)
+        for batch in chunks(batches, 0):
+            stream = np.concatenate([np.append(m.own_numbers(t), END) for t in batch.column(0).to_pylist()])
+            gru.read(stream)
+            seen += len(stream)
+        if seen:
+            flat = np.concatenate([gru.p[k].reshape(-1) for k in sizes])
+            parts = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["block", "n", "v"])
+
+    def mean(key: tuple, t: pa.Table) -> pa.Table:
+        rows = zip(t.column("n").to_pylist(), t.column("v").to_pylist(), strict=True)
+        total = sum(np.frombuffer(v, np.float32).astype(np.float64) * n for n, v in rows) / sum(t.column("n").to_pylist())
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    got = learning.select("text").mapInArrow(learn, "block int, n bigint, v binary").groupBy("block").applyInArrow(mean, "block int, v binary").collect()
+    if got:
+        flat = np.frombuffer(b"".join(bytes(r["v"]) for r in sorted(got, key=lambda r: r["block"])), np.float32).copy()
+        for k, v in zip(sizes, np.split(flat, np.cumsum([*sizes.values()])[:-1]), strict=True):
+            model.gru.p[k] = v.reshape(model.gru.p[k].shape)
+    model.gru.squares = {}
+
+
 def log_likelihoods(docs: DataFrame, sample: int = 3000, model_words: int = 4096, listed: int = 150_000, updates: int = 1500) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    n_learn = docs.filter("NOT held_out").count()
-    drawn = docs.filter(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < min(1.0, sample / max(1, n_learn)) * (1 << 30)))
+    learning = docs.filter("NOT held_out")
+    n_learn = learning.count()
+    drawn = learning.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < min(1.0, sample / max(1, n_learn)) * (1 << 30))
     texts = sorted(r["text"] or "" for r in drawn.select("text").collect())
     np.random.default_rng(5).shuffle(texts)
-    model = Model(texts, model_words, listed, updates)
+    own_words = round(model_words * max(1.0, n_learn / sample) ** 0.5)
+    model = Model(most_frequent(learning, max(listed, own_words) - 2), own_words)
+    model.gru.fit([model.own_numbers(t) for t in texts], updates)
     del texts
+    learn_all(model, learning)
     shared = spark.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
