@@ -2,8 +2,8 @@
 
 A text's hashed byte trigrams (letters lower-cased) are counted and scaled to length one. A linear support vector
 machine for each language family picks the family; within it, one-versus-one linear support vector machines vote for the
-language. All machines are fitted on the driver from a bounded sample (`sample_per_lang` rows a language, drawn by a hash
-of the row over all training rows); everything else reads all rows.
+language. All machines are fitted on the driver from a bounded sample (`sample_per_lang` distinct texts a language, those of
+the least hashes over all training rows); everything else reads all rows.
 
 Defined cases: a text that is null, empty or without a letter gives `und` with score 0; rows whose language is null are
 not learned from; without any training row every text gives `und`; with one language every text with a letter gives that
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rillview.llm.common import chunks, fold
 
@@ -113,15 +114,14 @@ def _sigmoid(v: float) -> float:
 
 
 def fit(rows: DataFrame, sample_per_lang: int = 300) -> Model:
-    """rows: text, lang. The bound is `sample_per_lang` rows of each language; how many there are is counted over all rows."""
+    """rows: text, lang. The bound is `sample_per_lang` distinct texts of each language, those with the least hashes."""
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return Model(np.zeros((0, DIM), np.float32), [])
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_per_lang / n))).otherwise(share)
-    drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    # the least hashes of each language's distinct texts, in two steps so that no language meets in one task whole
+    chosen = hashed.select("lang", "h", F.pmod(F.hash("h"), F.lit(256)).alias("salt")).distinct()
+    for keys in (["lang", "salt"], ["lang"]):
+        chosen = chosen.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(F.col("nth") <= sample_per_lang).drop("nth")
+    drawn = hashed.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 0):
