@@ -153,7 +153,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs in which the model finds a language, with the columns of docs, whatever they are called."""
+    """The rows of docs in which the model finds a language, with the columns of docs, whatever they are called; if it has none, the rows with a letter."""
+    if not model.names:
+        model = Model(np.zeros((1, DIM), np.float32), ["any"])
     names = [f"d{i}" for i in range(len(docs.columns))]
     named = docs.select(*[F.col(f"`{c}`").alias(d) for c, d in zip(docs.columns, names, strict=True)], "text")
     return identify(named, model, names).filter(F.col("lang_pred") != UND).select(*names).toDF(*docs.columns)
