@@ -118,14 +118,47 @@ def test_tokenize(docs, none):
         ids = lib.encode(text, add_special_tokens=False).ids
         assert r["ids"] == ids and r["decoded"] == lib.decode(ids, skip_special_tokens=False) and r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-    own = tokenize.Bpe(tokenize.default_vocabulary(), leaf=16)
-    parts = ["a", "the", " ", "  ", "\n", "\t", "é", "x" * 30, "123", "!!", "<|endoftext|>", "'s", "\x85", "漢字", "👍🏽", "\r\n", "ab" * 40]
-    for _ in range(400):
-        t = "".join(RNG.choice(parts) for _ in range(RNG.randrange(30)))
-        assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids
+    parts = ["a", "the", " ", "  ", "\n", "\t", "é", "x" * 30, "123", "!!", "<|endoftext|>", "<|", "endoftext", "|>", "'", "re", "'s", "\x85", "漢字", "、", "👍🏽", "\r\n", "ab" * 40, " word"]
+    for leaf in (3, 16, 40):
+        own = tokenize.Bpe(tokenize.default_vocabulary(), leaf)
+        for _ in range(300):
+            t = "".join(RNG.choice(parts) for _ in range(RNG.randrange(30)))
+            assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids
+        assert own.joined > 300 and own.unsplit
     assert tokenize.encode_documents(none).count() == 0
 
 
+def test_tokenize_joins_ordinary_and_unsplit_texts(spark):
+    """Texts beyond a leaf come through joins, each exact; halves of long text without a sure cut too."""
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(tokenize.default_vocabulary()), tokenize.Bpe(tokenize.default_vocabulary())
+    for n, text in enumerate([passage(400), passage(3000), passage(2) + "z" * 5000 + " " * 3000 + "q", "漢字かな、" * 1500, "".join(RNG.choice("abcdef") for _ in range(6000)), "1" * 4000 + "ab" * 3000]):
+        before = own.joined
+        ids = own.encode(text)
+        assert own.joined > before and ids == lib.encode(text, add_special_tokens=False).ids and own.decode(ids) == text
+        assert bool(own.unsplit) == (n > 1)
+    many = "".join(RNG.choice([" a", "b", " the", "c\n"]) for _ in range(60_000))  # leaves of several threads
+    assert own.encode(many) == lib.encode(many, add_special_tokens=False).ids
+    docs = spark.createDataFrame([(1, "a b", 7, "x"), (1, "a b", 7, "x"), (2, None, None, None)], "doc_id long, text string, ids long, decoded string")
+    got = sorted(map(tuple, tokenize.encode_documents(docs, full=True).select("doc_id", "n_tokens", "ids", "decoded").collect()))
+    want = lib.encode("a b").ids
+    assert got == [(1, 2, want, "a b"), (1, 2, want, "a b"), (2, 0, [], "")]
+
+
+def test_encoders_cut_all_characters_alike():
+    """The faster encoder of leaves and the library have one notion of letters, digits and white space."""
+    import sys
+
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(tokenize.default_vocabulary()), tokenize.Bpe(tokenize.default_vocabulary())
+    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    for i in range(0, len(points), 4000):
+        text = "\n".join("a%c1%c!%c a" % (c, c, c) for c in points[i : i + 4000])
+        assert lib.encode(text, add_special_tokens=False).ids == own.ranked.encode_ordinary(text)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((400, 8)) * rng.uniform(0.5, 2, (400, 1))

@@ -96,7 +96,7 @@ def test_stages_and_run(spark, tmp_path):
     last = {}
     for r in want[3]:
         ids = lib.encode(r[1], add_special_tokens=False).ids
-        last[r[0]] = (len(ids), digest(",".join(map(str, ids))), digest(lib.decode(ids, skip_special_tokens=False)))
+        last[r[0]] = (len(ids), digest(",".join(map(str, ids))), digest(lib.decode(ids, skip_special_tokens=False)), ids)
     assert {r[0]: tuple(r)[1:] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == last
 
 
