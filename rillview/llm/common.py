@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,23 +9,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillview.functions.folders import remove, scratch
+
 #: Bytes of text that a Python worker holds at once (a single longer text is held alone).
 CHUNK_BYTES = 4 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset (tests on one machine), a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="rillview-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes the rows once to the shared folder and reads them back, so that a lost executor costs no recomputation."""
+    """Cuts the lineage: writes the rows once to the shared folder and reads them back, so that a lost executor costs no recomputation. What discard() does not delete goes when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rillview/{uuid.uuid4().hex}"
+    path = scratch(spark, "rillview")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rillview_path = path
@@ -37,9 +28,7 @@ def stored(df: DataFrame) -> DataFrame:
 def discard(df: DataFrame | None) -> None:
     """Deletes what stored() wrote, once nothing reads it any more."""
     if df is not None and (path := getattr(df, "_rillview_path", None)):
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        remove(df.sparkSession, path)
 
 
 def fold(doc_id: Column, n: int) -> Column:

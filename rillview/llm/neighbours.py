@@ -1,23 +1,34 @@
-"""Nearest neighbours by largest inner product: stable projections, a kd-tree, a chi-square stopping test.
+"""Nearest neighbours by largest inner product: stable projections, kd-trees, a chi-square stopping test.
 
 Vectors get one more component that makes all norms equal, so that the largest inner product is the smallest Euclidean
-distance. They are projected to `m` dimensions by one fixed Gaussian matrix and dealt to blocks; each block's kd-tree hands
-out leaves in order of projected distance, whose vectors are verified with exact inner products. As the squared projected
-distance over the squared true one is chi-square with m degrees of freedom, a query stops when the next leaf is so far that
-a vector nearer than its present k-th would have come before with probability `sure`.
+distance. The others are projected to `m` dimensions by one fixed Gaussian matrix. A kd-tree over a bounded sample of projections deals
+every vector to a cell; the cells' own bounding boxes are then measured over all vectors. As the squared projected distance over
+the squared true one is chi-square with m degrees of freedom, a vector at most as far as a query's present k-th is projected
+beyond `limit` times that squared distance (the quantile of `sure`) with probability 1 - sure at most.
 
-Identical vectors compete only by id: of each, the k + 1 smallest ids go to the blocks, which loses no result.
+1. Each query searches the cell nearest to its projection and so gets a first k-th distance.
+2. Then it visits the other cells whose box the test admits, and no more.
+
+Within a cell a smaller kd-tree hands out leaves in order of projected distance; only vectors whose own projected distance passes
+the test are verified with exact inner products, and the query stops when the next leaf fails it. A cell goes to tasks in parts of
+about `cell_rows` vectors, each with about `query_rows` of its counted visitors, so that no group grows with the tables.
+
+Identical vectors compete only by id: of each, the k + 1 smallest ids go to the cells, which loses no result.
+
+How much the test saves depends on the vectors: where a query's k-th is hardly nearer than the others are (vectors without any
+structure, such as uniform random ones), no low-dimensional projection can tell them apart and about half are verified.
+`verified` tells.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows with null
-ids; of vectors of several lengths only those of the most common length (the greater, if tied) take part; repeated rows count
-once, and so do rows of one id with different vectors (the one with the smaller hash counts); ties go to the smaller id;
-with fewer than k candidates all are returned; extra columns are ignored.
+ids; inner products need vectors of one length, so of several lengths only the most common (the greater, if tied) takes part; repeated
+rows count once, and so do rows of one id with different vectors (the one with the smaller hash counts); ties go to the smaller id;
+with fewer than k candidates all are returned; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp
+from math import ceil, exp, log2
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEAF, AHEAD = 32, 4
+from rillview.llm.common import discard, stored
+
+LEAF, AHEAD, SEED = 32, 4, 11
+NO_ID = np.iinfo(np.int64).max
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -45,6 +59,42 @@ def chi_square_quantile(p: float, m: int) -> float:
     return high
 
 
+class Projection:
+    """The Gaussian matrix for vectors of `dim` components and norms up to `top`, and the test's factor. The component that makes norms equal is not projected (it is far from random), but kept as a last dimension that weighs `limit` times."""
+
+    def __init__(self, dim: int, m: int, top: float, sure: float):
+        self.matrix, self.top, self.limit = np.random.default_rng(SEED).standard_normal((dim, m)), top, chi_square_quantile(sure, m)
+
+    def points(self, vectors: np.ndarray) -> np.ndarray:
+        rest = np.sqrt(self.limit * np.maximum(0, self.top**2 - (vectors**2).sum(1)))
+        return np.hstack([vectors @ self.matrix, rest[:, None]])
+
+    def queries(self, vectors: np.ndarray) -> np.ndarray:
+        return np.hstack([vectors @ self.matrix, np.zeros((len(vectors), 1))])
+
+
+class Cells:
+    """A complete kd-tree of `depth` levels over a sample; each level halves the widest dimension."""
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        self.depth = depth
+        self.dims, self.at = np.zeros(1 << depth, np.int64), np.zeros(1 << depth)
+        own = {1: sample}
+        for node in range(1, 1 << depth):
+            p = own.pop(node)
+            if len(p):
+                d = int((p.max(0) - p.min(0)).argmax())
+                self.dims[node], self.at[node] = d, np.median(p[:, d])
+            right = p[:, self.dims[node]] >= self.at[node]
+            own[2 * node], own[2 * node + 1] = p[~right], p[right]
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        node = np.ones(len(points), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + (points[np.arange(len(points)), self.dims[node]] >= self.at[node])
+        return node - (1 << self.depth)
+
+
 class KdTree:
     """Leaves of a tree that halves the widest dimension; order: places of the points, leaf after leaf."""
 
@@ -68,83 +118,169 @@ class KdTree:
         self.high = np.array([points[self.order[a:z]].max(0) for a, z in edges])
 
 
-def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, top: float, m: int, sure: float, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and scores of its k nearest of a block, nearest first. top: the greatest norm of all vectors."""
-    dim = vectors.shape[1]
-    project = np.random.default_rng(seed).standard_normal((dim + 1, m))
-    rest = np.sqrt(np.maximum(0, top**2 - (vectors**2).sum(1)))
-    points = vectors @ project[:-1] + rest[:, None] * project[-1]
+def box_distances(p: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distance of each point to each box, a row for each point."""
+    out = np.zeros((len(p), len(low)))
+    for d in range(p.shape[1]):
+        out += np.maximum(0, np.maximum(low[None, :, d] - p[:, None, d], p[:, None, d] - high[None, :, d])) ** 2
+    return out
+
+
+def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, k: int, projection: Projection) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each query the ids and scores of its k nearest of these vectors, nearest first, and how many were verified. bounds: scores that a result must reach (-inf: none)."""
+    points = projection.points(vectors)
     tree = KdTree(points)
-    limit = chi_square_quantile(sure, m)
-    vectors, ids = vectors[tree.order], ids[tree.order]
+    vectors, ids, points = vectors[tree.order], ids[tree.order], points[tree.order]
     out = []
     width = int((tree.edges[:, 1] - tree.edges[:, 0]).max())
     for first in range(0, len(queries), 128):
-        q, q_ids = queries[first : first + 128], query_ids[first : first + 128]
-        p = q @ project[:-1]
-        gap = np.maximum(0, np.maximum(tree.low[None] - p[:, None], p[:, None] - tree.high[None]))
-        near = (gap**2).sum(2)
+        q, q_ids, least = (x[first : first + 128] for x in (queries, query_ids, bounds))
+        p = projection.queries(q)
+        near = box_distances(p, tree.low, tree.high)
         order = np.argsort(near, axis=1)
         near = np.take_along_axis(near, order, 1)
-        norms = (q**2).sum(1) + top**2
-        best_s = np.full((len(q), k), -np.inf)
-        best_i = np.full((len(q), k), np.iinfo(np.int64).max)
-        live = np.arange(len(q))
+        norms = (q**2).sum(1) + projection.top**2
+        best_s, best_i = np.full((len(q), k), -np.inf), np.full((len(q), k), NO_ID)
+        live, verified = np.arange(len(q)), np.zeros(len(q), np.int64)
         for at in range(0, len(tree.edges), AHEAD):
-            worst = np.maximum(0, norms[live] - 2 * best_s[live, -1])  # squared distance of the k-th so far
-            live = live[near[live, at] <= limit * worst + 1e-9 * norms[live]]
+            worst = np.maximum(0, norms[live] - 2 * np.maximum(best_s[live, -1], least[live]))  # squared distance of the k-th so far
+            radius = projection.limit * worst + 1e-9 * norms[live]
+            on = near[live, at] <= radius
+            live, radius = live[on], radius[on]
             if not len(live):
                 break
             leaves = tree.edges[order[live, at : at + AHEAD]]
             place = leaves[:, :, :1] + np.arange(width)
             valid = (place < leaves[:, :, 1:]).reshape(len(live), -1)
             place = np.where(valid, place.reshape(len(live), -1), 0)
-            s = np.einsum("qcd,qd->qc", vectors[place], q[live])
-            i = ids[place]
-            s = np.where(valid & (i != q_ids[live, None]), s, -np.inf)
-            all_s, all_i = np.hstack([best_s[live], s]), np.hstack([best_i[live], np.where(np.isfinite(s), i, np.iinfo(np.int64).max)])
+            off = points[place] - p[live][:, None]
+            valid &= (np.einsum("qcd,qcd->qc", off, off) <= radius[:, None]) & (ids[place] != q_ids[live, None])
+            row, column = np.nonzero(valid)
+            verified[live] += valid.sum(1)
+            s = np.full(valid.shape, -np.inf)
+            s[row, column] = np.einsum("nd,nd->n", vectors[place[row, column]], q[live[row]])
+            i = np.where(valid, ids[place], NO_ID)
+            all_s, all_i = np.hstack([best_s[live], s]), np.hstack([best_i[live], i])
             kept = np.lexsort((all_i, -all_s), axis=1)[:, :k]
             best_s[live], best_i[live] = np.take_along_axis(all_s, kept, 1), np.take_along_axis(all_i, kept, 1)
-        for s, i in zip(best_s, best_i, strict=True):
+        for s, i, n in zip(best_s, best_i, verified, strict=True):
             some = np.isfinite(s)
-            out.append((i[some], s[some]))
+            out.append((i[some], s[some], int(n)))
     return out
 
 
-def usable(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """id, v (array<double>): the rows that take part, each id once."""
+def usable(rows: DataFrame, id_column: str, vector_column: str) -> tuple[DataFrame, int]:
+    """id, v (array<double>): the rows that take part, each id once; and the length of v."""
     v = F.col(vector_column).cast("array<double>")
     rows = rows.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).filter("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(v, x -> x <> 0)")
     lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
-    rows = rows.filter(F.size("v") == (lengths["n"] if lengths else 0))
-    return rows.groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+    dim = lengths["n"] if lengths else 0
+    return rows.filter(F.size("v") == dim).groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v")), dim
 
 
-def nearest(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 20, k: int = 20, m: int = 8, sure: float = 0.97, block: int = 16_384, query_block: int = 4_096) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose id is divisible by `every` its k nearest of all other rows."""
-    rows = usable(rows, id_column, vector_column)
-    facts = rows.agg(F.count("*").alias("n"), F.sum(F.when(F.col("id") % every == 0, 1).otherwise(0)).alias("q"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("top")).first()
-    blocks, query_blocks = max(1, -(-facts["n"] // block)), max(1, -(-(facts["q"] or 0) // query_block))
-    top = facts["top"] or 0.0
+def _matrix(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def _visited(placed: DataFrame, queries: DataFrame, parts: dict[int, int], query_rows: int, k: int, projection: Projection) -> DataFrame:
+    """query_id, vec_id, score, verified of each query (q_id, q_v, bound, cells) in each of its cells; a row without vec_id tells how many were verified."""
+    spark = placed.sparkSession
+    visits = queries.select("q_id", "q_v", "bound", F.explode("cells").alias("cell"))
+    visitors = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row for each cell at most
+    plan = F.broadcast(spark.createDataFrame([(c, parts[c], ceil(n / query_rows)) for c, n in visitors.items()], "cell int, parts int, copies int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.select("id", "v", "cell").join(plan, "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), every("copies").alias("copy"))
+    right = visits.join(plan, "cell").select("q_id", "q_v", "bound", F.col("cell").alias("q_cell"), F.pmod(F.xxhash64("q_id"), "copies").cast("int").alias("q_copy"), every("parts").alias("q_part"))
+
+    def run(key: tuple, own: pa.Table, asked: pa.Table) -> pa.Table:
+        found = []
+        if own.num_rows and asked.num_rows:
+            bounds = asked.column("bound").to_numpy()
+            found = search(_matrix(own.column("v"), own.num_rows), own.column("id").to_numpy(), _matrix(asked.column("q_v"), asked.num_rows), asked.column("q_id").to_numpy(), bounds, k, projection)
+        out = [(q, None, None, n) for q, (_, _, n) in zip(asked.column("q_id").to_pylist(), found, strict=False)]
+        out += [(q, i, s, 0) for q, (ids, scores, _) in zip(asked.column("q_id").to_pylist(), found, strict=False) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)]
+        return pa.table({name: pa.array([o[j] for o in out], t) for j, (name, t) in enumerate((("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("verified", pa.int64())))})
+
+    return left.groupBy("cell", "part", "copy").cogroup(right.groupBy("q_cell", "q_part", "q_copy")).applyInArrow(run, "query_id bigint, vec_id bigint, score double, verified bigint")
+
+
+def nearest(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 20, k: int = 20, m: int = 16, sure: float = 0.9, cell_rows: int = 4_096, query_rows: int = 512, sample: int = 50_000, most_depth: int = 10) -> DataFrame:
+    """query_id, rank, vec_id, score, verified: for each row whose id is divisible by `every` its k nearest of all other rows. sample: of how many projections, about, the cells' tree is made; most_depth: its levels at most (larger cells go in parts); verified: of how many vectors the query's exact inner product was taken."""
+    rows, dim = usable(rows, id_column, vector_column)
+    rows = stored(rows)
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("top")).first()
+    projection = Projection(dim, m, facts["top"] or 0.0, sure)
     # of identical vectors the k + 1 smallest ids, in two steps so that no group meets in one task whole
     same = rows.select("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"), F.pmod(F.xxhash64("id"), F.lit(256)).alias("salt"))
     for keys in (["h1", "h2", "salt"], ["h1", "h2"]):
         same = same.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).filter(F.col("nth") <= k + 1).drop("nth")
     candidates = rows.join(same.select("id"), "id", "left_semi")
-    dealt = candidates.select(F.lit(0).alias("role"), "id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    asked = rows.filter(F.col("id") % every == 0).select(F.lit(1).alias("role"), "id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.hash("id"), F.lit(query_blocks)).cast("int").alias("qb"))
-    asked = asked.toDF("role", "q_id", "q_v", "q_b", "q_qb")
-    kinds = "query_id bigint, vec_id bigint, score double"
-
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
-        if not left.num_rows or not right.num_rows:
-            return pa.table(empty)
-        matrix = lambda t, name: t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        q_ids = right.column("q_id").to_numpy()
-        found = search(matrix(left, "v"), left.column("id").to_numpy(), matrix(right, "q_v"), q_ids, k, top, m, sure)
-        return pa.table({"query_id": np.repeat(q_ids, [len(i) for i, _ in found]), "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found])})
-
-    part = dealt.groupBy("b", "qb").cogroup(asked.groupBy("q_b", "q_qb")).applyInArrow(run, kinds)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return part.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in projection.points(_matrix(batch.column(0), batch.num_rows))], pa.binary())], names=["p"])
+
+    depth = max(0, min(most_depth, ceil(log2(max(1, facts["n"]) / cell_rows))))
+    drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < min(1.0, sample / max(1, facts["n"])) * (1 << 30)).select("v")
+    points = [np.frombuffer(r["p"]) for r in drawn.mapInArrow(project, "p binary").collect()] if depth else []
+    cells = Cells(np.array(sorted(map(tuple, points))).reshape(-1, m + 1), depth)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                p = projection.points(_matrix(batch.column(1), batch.num_rows))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.of(p), pa.int32()), pa.array(list(p), pa.list_(pa.float64()))], names=["id", "v", "cell", "p"])
+
+    placed = stored(candidates.select("id", "v").mapInArrow(place, "id bigint, v array<double>, cell int, p array<double>"))
+    boxes = placed.groupBy("cell").agg(F.count("*").alias("n"), *[f(F.col("p")[i]).alias(f"{s}{i}") for i in range(m + 1) for f, s in ((F.min, "l"), (F.max, "h"))]).collect()  # 2 ** most_depth at most
+    boxes.sort(key=lambda b: b["cell"])
+    numbers = np.array([b["cell"] for b in boxes])
+    low, high = (np.array([[b[f"{s}{i}"] for i in range(m + 1)] for b in boxes]).reshape(-1, m + 1) for s in "lh")
+    parts = {b["cell"]: ceil(b["n"] / cell_rows) for b in boxes}
+
+    def deal(admit: bool):
+        """The cells of each query: the nearest one, or all others that the test admits."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                q = _matrix(batch.column(1), batch.num_rows)
+                near = box_distances(projection.queries(q), low, high)
+                home, bound = near.argmin(1), batch.column(2).to_numpy(zero_copy_only=False)
+                if admit:
+                    norms = (q**2).sum(1) + projection.top**2
+                    yes = near <= (projection.limit * np.maximum(0, norms - 2 * bound) + 1e-9 * norms)[:, None]
+                    yes[np.arange(len(q)), home] = False
+                    own = [numbers[y].tolist() for y in yes]
+                else:
+                    own = numbers[home][:, None].tolist()
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.int32()))], names=["q_id", "q_v", "bound", "cells"])
+
+        return run
+
+    kinds = "q_id bigint, q_v array<double>, bound double, cells array<int>"
+    queries = rows.filter(F.col("id") % every == 0).select(F.col("id").alias("q_id"), F.col("v").alias("q_v"))
+    none = F.lit(float("-inf"))
+    if not boxes:
+        found, own = rows.select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), none.alias("score"), F.lit(0).cast("long").alias("verified")).limit(0), []
+    else:
+        asked = stored(queries.withColumn("bound", none).mapInArrow(deal(False), kinds))
+        found, own = stored(_visited(placed, asked, parts, query_rows, k, projection)), [asked]
+        if len(boxes) > 1:
+            reached = found.filter("vec_id IS NOT NULL").groupBy("query_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("score"), False).alias("scores"))  # k for each part of one cell at most
+            reached = reached.filter(F.col("n") >= k).select("query_id", F.col("scores")[k - 1].alias("reached"))
+            again = stored(queries.join(reached, F.col("q_id") == F.col("query_id"), "left").select("q_id", "q_v", F.coalesce("reached", none).alias("bound")).mapInArrow(deal(True), kinds).filter(F.size("cells") > 0))
+            more = stored(_visited(placed, again, parts, query_rows, k, projection))
+            own += [found, again, more]
+            found = found.unionByName(more)
+        else:
+            own.append(found)
+    of_query = Window.partitionBy("query_id")
+    ranked = found.withColumns({"verified": F.sum("verified").over(of_query), "rank": F.row_number().over(of_query.orderBy(F.desc_nulls_last("score"), "vec_id"))})
+    out = stored(ranked.filter((F.col("rank") <= k) & F.col("vec_id").isNotNull()).select("query_id", "rank", "vec_id", "score", "verified"))
+    for done in (rows, placed, *own):
+        discard(done)
+    return out
