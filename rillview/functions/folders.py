@@ -8,14 +8,29 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one; a folder of our own only where the session names none (tests on one machine)."""
+def shared_top(spark: SparkSession) -> str:
+    """The folder that driver and executors share. One of our own only where the session names none and everything runs in one process."""
     if not (top := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="rillview-")
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return top.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, deleted at the latest when the application ends."""
+    path = f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"
+    where, system = _place(spark, path)
+    system.deleteOnExit(where)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
+    where, system = _place(spark, path)
+    system.delete(where, True)
+
+
+def _place(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
