@@ -6,7 +6,7 @@ every vector to a cell; the cells' own bounding boxes are then measured over all
 the squared true one is chi-square with m degrees of freedom, a vector at most as far as a query's present k-th is projected
 beyond `limit` times that squared distance (the quantile of `sure`) with probability 1 - sure at most.
 
-1. Each query searches the cell nearest to its projection and so gets a first k-th distance.
+1. Each query searches the `HOMES` cells nearest to its projection and so gets a first k-th distance.
 2. Then it visits the other cells whose box the test admits, and no more.
 
 Within a cell a smaller kd-tree hands out leaves in order of projected distance; only vectors whose own projected distance passes
@@ -39,6 +39,8 @@ from pyspark.sql.window import Window
 from rillview.llm.common import discard, stored
 
 LEAF, AHEAD, SEED = 32, 4, 11
+#: Cells that a query searches first.
+HOMES = 4
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -241,7 +243,7 @@ def nearest(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "em
     parts = {b["cell"]: ceil(b["n"] / cell_rows) for b in boxes}
 
     def deal(admit: bool):
-        """The cells of each query: the nearest one, or all others that the test admits."""
+        """The cells of each query: the nearest ones, or all others that the test admits."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -249,14 +251,14 @@ def nearest(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "em
                     continue
                 q = _matrix(batch.column(1), batch.num_rows)
                 near = box_distances(projection.queries(q), low, high)
-                home, bound = near.argmin(1), batch.column(2).to_numpy(zero_copy_only=False)
+                homes, bound = np.argsort(near, axis=1, kind="stable")[:, :HOMES], batch.column(2).to_numpy(zero_copy_only=False)
                 if admit:
                     norms = (q**2).sum(1) + projection.top**2
                     yes = near <= (projection.limit * np.maximum(0, norms - 2 * bound) + 1e-9 * norms)[:, None]
-                    yes[np.arange(len(q)), home] = False
+                    np.put_along_axis(yes, homes, False, 1)
                     own = [numbers[y].tolist() for y in yes]
                 else:
-                    own = numbers[home][:, None].tolist()
+                    own = numbers[homes].tolist()
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.int32()))], names=["q_id", "q_v", "bound", "cells"])
 
         return run
@@ -269,8 +271,8 @@ def nearest(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "em
     else:
         asked = stored(queries.withColumn("bound", none).mapInArrow(deal(False), kinds))
         found, own = stored(_visited(placed, asked, parts, query_rows, k, projection)), [asked]
-        if len(boxes) > 1:
-            reached = found.filter("vec_id IS NOT NULL").groupBy("query_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("score"), False).alias("scores"))  # k for each part of one cell at most
+        if len(boxes) > HOMES:
+            reached = found.filter("vec_id IS NOT NULL").groupBy("query_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("score"), False).alias("scores"))  # k for each part of the first cells at most
             reached = reached.filter(F.col("n") >= k).select("query_id", F.col("scores")[k - 1].alias("reached"))
             again = stored(queries.join(reached, F.col("q_id") == F.col("query_id"), "left").select("q_id", "q_v", F.coalesce("reached", none).alias("bound")).mapInArrow(deal(True), kinds).filter(F.size("cells") > 0))
             more = stored(_visited(placed, again, parts, query_rows, k, projection))
