@@ -34,3 +34,30 @@ def remove(spark: SparkSession, path: str) -> None:
 def _place(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    where, system = _place(spark, folder)
+    return [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """The file is there whole or not at all."""
+    where, system = _place(spark, path)
+    begun, _ = _place(spark, f"{path}.begun")
+    out = system.create(begun, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    system.delete(where, False)
+    system.rename(begun, where)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    where, system = _place(spark, path)
+    into = system.open(where)
+    try:
+        return bytes(into.readAllBytes()).decode("utf-8")
+    finally:
+        into.close()

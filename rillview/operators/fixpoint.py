@@ -1,6 +1,7 @@
 """Maintains the relations of one strongly connected set: over-delete and re-derive, then semi-naive insertion.
 
-Every round evaluates all rules that a change reaches, keeps only what is new and writes it.
+Every round evaluates all rules that a change reaches, keeps only what is new and writes it. A change's rows are counted as they are
+written; where they are few, relations are only scanned past them (broadcast semi-joins), never shuffled or written anew.
 """
 
 from __future__ import annotations
@@ -10,15 +11,17 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillview.plans.compiler import compile_rule
-from rillview.plans.terms import Rule
+from rillview.plans.terms import Atom, Rule
 
 #: Rows of a change up to which it is broadcast (each has a few columns).
 BROADCAST_ROWS = 20_000
+#: Stands for the rows that a re-derivation asks about, as a body atom.
+LOST = "@lost"
 
 
 @dataclass
@@ -30,65 +33,111 @@ class Change:
     path: str = ""
 
 
+@dataclass(frozen=True)
+class Part:
+    """Rows below a path that a relation gained (sign 1) or, from the parts before, lost (sign -1)."""
+
+    path: str
+    rows: int
+    sign: int = 1
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def without(left: DataFrame, right: list[DataFrame] | DataFrame) -> DataFrame:
-    """Rows of left that stand in none of right."""
-    for r in right if isinstance(right, list) else [right]:
-        other = r.toDF(*[f"n_{c}" for c in r.columns])
-        left = left.join(other, [F.col(c) == F.col(f"n_{c}") for c in left.columns], "left_anti")
-    return left
+def _joined(left: DataFrame, right: DataFrame, rows: int | None, how: str) -> DataFrame:
+    other = right.toDF(*[f"n_{c}" for c in right.columns])
+    other = F.broadcast(other) if rows is not None and rows <= BROADCAST_ROWS else other
+    return left.join(other, [F.col(c.removeprefix("n_")) == F.col(c) for c in other.columns], how)
+
 
+def without(left: DataFrame, right: DataFrame, rows: int | None = None) -> DataFrame:
+    """Rows of left that do not stand in right. rows: how many right has, if counted."""
+    return _joined(left, right, rows, "left_anti")
+
+
+def within(left: DataFrame, right: DataFrame, rows: int | None = None) -> DataFrame:
+    return _joined(left, right, rows, "left_semi")
 
-def within(left: DataFrame, right: DataFrame) -> DataFrame:
-    other = right.toDF(*[f"n_{c}" for c in right.columns])
-    return left.join(other, [F.col(c) == F.col(f"n_{c}") for c in left.columns], "left_semi")
+
+def together(changes: list[Change]) -> Change:
+    return changes[0] if len(changes) == 1 else Change(union([c.frame for c in changes]), sum(c.rows for c in changes))
 
 
 @dataclass
 class Rounds:
-    """Writes what rounds make below a shared folder, so that each plan starts from files: lineage and plans stay short, and a lost executor costs nothing. Relations are lists of such paths; one scan reads them all."""
+    """Writes what rounds make below a shared folder, so that each plan starts from files: lineage and plans stay short, and a lost executor costs nothing."""
 
     spark: SparkSession
     folder: str
     made: int = 0
     written: set[str] = field(default_factory=set)
 
-    def read(self, paths: list[str], like: T.StructType) -> DataFrame | None:
-        return self.spark.read.schema(like).parquet(*paths) if paths else None
+    def read(self, parts: list[Part], like: T.StructType) -> DataFrame | None:
+        """The rows of a relation: a scan of all that was gained, past what was lost (few rows, so broadcast)."""
+        frame, at = None, 0
+        while at < len(parts):
+            z = at
+            while z < len(parts) and parts[z].sign == parts[at].sign:
+                z += 1
+            rows = self.spark.read.schema(like).parquet(*[p.path for p in parts[at:z]])
+            if parts[at].sign > 0:
+                frame = rows if frame is None else frame.unionByName(rows)
+            elif frame is not None:
+                frame = without(frame, rows, sum(p.rows for p in parts[at:z]))
+            at = z
+        return frame
 
     def settle(self, frames: dict[str, DataFrame]) -> dict[str, Change]:
         """Each frame written and counted; those without rows are left out."""
         self.made += bool(frames)
         out = {}
         for p, f in frames.items():
-            path = f"{self.folder}/{uuid.uuid4().hex}"
-            f.write.parquet(path)
+            path, seen = f"{self.folder}/{uuid.uuid4().hex}", Observation()
             self.written.add(path)
-            frame = self.spark.read.schema(f.schema).parquet(path)
-            if n := frame.count():  # from the files' footers
-                out[p] = Change(frame, n, path)
+            f.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+            if n := seen.get["n"]:
+                out[p] = Change(self.spark.read.schema(f.schema).parquet(path), n, path)
         return out
 
+    def fresh(self, seeds: dict[str, list[DataFrame]], known: Callable[[str], tuple[DataFrame, int | None] | None]) -> dict[str, Change]:
+        """The distinct rows of the seeds that are not known. known: a relation's rows and their number, if counted.
+
+        The seeds are written first: if they are few, what is known is scanned past them; only many rows are joined by a shuffle."""
+        have = {p: k for p in seeds if (k := known(p)) is not None}
+        made = self.settle({p: union(f).distinct() for p, f in seeds.items()})
+        again = {}
+        for p, c in made.items():
+            if p not in have:
+                continue
+            rows, n = have[p]
+            if n is not None and n <= BROADCAST_ROWS:
+                again[p] = without(c.frame, rows, n)
+            elif c.rows <= BROADCAST_ROWS:
+                again[p] = without(c.frame, within(rows, c.frame, c.rows), c.rows)
+            else:
+                again[p] = without(c.frame, rows)
+        new = self.settle(again)
+        self.made -= bool(again)
+        return {p: new[p] if p in have else c for p, c in made.items() if p not in have or p in new}
+
 
 class Component:
     """One strongly connected set at one poll. old, new: relation -> its rows before and after (sets outside are final)."""
 
-    def __init__(self, spark: SparkSession, names: list[str], old_rules: list[Rule], new_rules: list[Rule], added: list[Rule], removed: list[Rule], old: Callable[[str], DataFrame | None], new: Callable[[str], DataFrame | None], paths: dict[str, list[str]], schema: Callable[[str], T.StructType], rounds: Rounds):
-        self.spark, self.names, self.rounds = spark, set(names), rounds
+    def __init__(self, names: list[str], old_rules: list[Rule], new_rules: list[Rule], added: list[Rule], removed: list[Rule], old: Callable[[str], DataFrame | None], new: Callable[[str], DataFrame | None], parts: dict[str, list[Part]], schema: Callable[[str], T.StructType], rounds: Rounds):
+        self.names, self.rounds = set(names), rounds
         mine = lambda rules: [r for r in rules if r.head.symbol in self.names]
         self.old_rules, self.new_rules, self.added, self.removed = mine(old_rules), mine(new_rules), mine(added), mine(removed)
-        self.old, self.new, self.paths, self.schema = old, new, paths, schema
-        self.parts: dict[str, list[str]] = {}  # paths
+        self.old, self.new, self.schema = old, new, schema
+        self.parts = {p: list(parts.get(p, [])) for p in self.names}
 
     def state(self, name: str) -> DataFrame | None:
         """The present rows: of the set's own relations as they grow, of others the final ones."""
         if name not in self.names:
             return self.new(name)
-        parts = self.parts.get(name)
-        return self.rounds.read(parts, self.schema(name)) if parts else None
+        return self.rounds.read(self.parts[name], self.schema(name)) if self.parts[name] else None
 
     def evaluate(self, rule: Rule, at: int | None, change: Change | None, state: Callable[[str], DataFrame | None]) -> DataFrame | None:
         sources = [change.frame if i == at else state(a.symbol) for i, a in enumerate(rule.body)]
@@ -106,7 +155,7 @@ class Component:
                     out.setdefault(rule.head.symbol, []).append(made)
         return out
 
-    def delete(self, base: dict[str, Change], below: dict[str, Change]) -> dict[str, list[DataFrame]]:
+    def delete(self, base: dict[str, Change], below: dict[str, Change]) -> dict[str, Change]:
         """All that may have lost its ground. base: facts taken back; below: what other sets lost."""
         seeds = self.through(self.old_rules, below, self.old)
         for p, c in base.items():
@@ -114,40 +163,55 @@ class Component:
         for rule in self.removed:
             if (made := self.evaluate(rule, None, None, self.old)) is not None:
                 seeds.setdefault(rule.head.symbol, []).append(made)
-        gone: dict[str, list[DataFrame]] = {}
+        gone: dict[str, list[Change]] = {}
+        known = lambda p: (t.frame, t.rows) if p in gone and (t := together(gone[p])) else None
         while seeds:
-            fresh = self.rounds.settle({p: without(union(f).distinct(), gone.get(p, [])) for p, f in seeds.items()})
+            fresh = self.rounds.fresh(seeds, known)
             for p, c in fresh.items():
-                gone.setdefault(p, []).append(c.frame)
+                gone.setdefault(p, []).append(c)
             seeds = self.through(self.old_rules, fresh, self.old)
-        return gone
-
-    def run(self, base_plus: dict[str, Change], base_minus: dict[str, Change], plus: dict[str, Change], minus: dict[str, Change], visible: Callable[[str], DataFrame | None]) -> tuple[dict[str, list[Change]], dict[str, list[DataFrame]]]:
-        """Changes of this set's relations (rows in, rows out), not yet freed of each other. visible: base facts that hold."""
+        return {p: together(c) for p, c in gone.items()}
+
+    def _leave(self, gone: dict[str, Change]) -> None:
+        """Takes rows out: few are listed beside the relation, for many it is written anew."""
+        few = self.rounds.settle({p: c.frame for p, c in gone.items() if c.rows <= BROADCAST_ROWS and not c.path})
+        many = self.rounds.settle({p: without(self.old(p), c.frame) for p, c in gone.items() if c.rows > BROADCAST_ROWS and self.parts[p]})
+        for p, c in gone.items():
+            if c.rows > BROADCAST_ROWS:
+                self.parts[p] = [Part(many[p].path, many[p].rows)] if p in many else []
+            elif self.parts[p]:
+                self.parts[p].append(Part(c.path or few[p].path, c.rows, -1))
+
+    def run(self, base_plus: dict[str, Change], base_minus: dict[str, Change], plus: dict[str, Change], minus: dict[str, Change], holding: Callable[[str, Change], DataFrame | None]) -> tuple[dict[str, Change], dict[str, Change]]:
+        """Changes of this set's relations (rows in, rows out), not yet freed of each other. holding: those of a change's rows that are base facts."""
         gone = self.delete(base_minus, minus) if base_minus or minus or self.removed else {}
-        self.parts = {p: list(self.paths.get(p, [])) for p in self.names}
-        kept = self.rounds.settle({p: without(self.old(p), lost) for p, lost in gone.items()})
-        for p in gone:
-            self.parts[p] = [kept[p].path] if p in kept else []
+        self._leave(gone)
         seeds = self.through(self.new_rules, plus, self.state)
+        came: dict[str, list[Change]] = {}
+        first: dict[str, Change] = {}
         for p, c in base_plus.items():
-            seeds.setdefault(p, []).append(c.frame)
+            if c.path and not self.parts[p] and p not in seeds and not any(r.head.symbol == p for r in [*self.added, *self.new_rules]):
+                first[p] = c  # the files of the facts are the relation
+            else:
+                seeds.setdefault(p, []).append(c.frame)
         for rule in self.added:
             if (made := self.evaluate(rule, None, None, self.state)) is not None:
                 seeds.setdefault(rule.head.symbol, []).append(made)
-        for p, lost in gone.items():  # what still has ground
-            lost_rows = union(lost)
-            if (base := visible(p)) is not None:
-                seeds.setdefault(p, []).append(within(lost_rows, base))
+        for p, lost in gone.items():  # what still has ground: rules are asked about the lost rows only
+            if (base := holding(p, lost)) is not None:
+                seeds.setdefault(p, []).append(base)
             for rule in self.new_rules:
-                if rule.head.symbol == p and (made := self.evaluate(rule, None, None, self.state)) is not None:
-                    seeds.setdefault(p, []).append(within(made, lost_rows))
-        came: dict[str, list[Change]] = {}
-        while seeds:
-            known = {p: [s] if (s := self.state(p)) is not None else [] for p in seeds}
-            fresh = self.rounds.settle({p: without(union(f).distinct(), known[p]) for p, f in seeds.items()})
+                if rule.head.symbol != p:
+                    continue
+                asked = Rule(rule.head, [Atom(LOST, rule.head.terms), *rule.body])
+                if (made := self.evaluate(asked, 0, lost, self.state)) is not None:
+                    seeds.setdefault(p, []).append(made)
+        known = lambda p: (s, None) if (s := self.state(p)) is not None else None
+        fresh = first
+        while seeds or fresh:
+            fresh = fresh | self.rounds.fresh(seeds, known) if seeds else fresh
             for p, c in fresh.items():
                 came.setdefault(p, []).append(c)
-                self.parts.setdefault(p, []).append(c.path)
-            seeds = self.through(self.new_rules, {p: c for p, c in fresh.items() if p in self.names}, self.state)
-        return came, gone
+                self.parts[p].append(Part(c.path, c.rows))
+            seeds, fresh = self.through(self.new_rules, {p: c for p, c in fresh.items() if p in self.names}, self.state), {}
+        return {p: together(c) for p, c in came.items()}, gone

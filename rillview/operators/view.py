@@ -2,6 +2,11 @@
 
 Base facts are a bag (each has a weight; it holds while its weight is over 0), rules too; the relations are sets. A poll also
 leaves the frontier: the rows that came (weight 1) and went (weight -1) with it.
+
+Facts are kept as a log of weighted changes, relations as parts gained and lost; a poll appends to both, and puts them together only
+when the parts become many. All of a poll's state is swapped at its end: a poll that fails changes nothing, and what was pushed
+stays pending. A DataFrame from query() or query_frontier() reads files that live until the end of the second poll after it;
+write it or query again to keep the rows longer.
 """
 
 from __future__ import annotations
@@ -9,8 +14,9 @@ from __future__ import annotations
 import logging
 import time
 from collections import Counter
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillview.functions.folders import remove, scratch
-from rillview.operators.fixpoint import Change, Component, Rounds, union, without
+from rillview.operators.fixpoint import BROADCAST_ROWS, Change, Component, Part, Rounds, union, within, without
 from rillview.plans.analysis import check_arities, column_type, components, infer_types, value_type
 from rillview.plans.compiler import columns, empty, literal
 from rillview.plans.parser import parse_rule
@@ -41,8 +47,8 @@ class PollStats:
 class Relation:
     arity: int
     types: list[T.DataType] | None = None
-    base: str | None = None  # path of columns, weight
-    rows: list[str] | None = None  # paths
+    base: list[Part] = field(default_factory=list)  # a log: columns and weight
+    rows: list[Part] = field(default_factory=list)
     frontier: DataFrame | None = None
 
     @property
@@ -62,6 +68,9 @@ class MaterializedView:
         self._safe = True
         self._folder: str | None = None
         self._old: set[str] = set()
+        #: files that nothing reads any more; kept until sweep() if `durable`
+        self._garbage: set[str] = set()
+        self.durable = False
         self.push_rules(program)
 
     # -- changes -------------------------------------------------------------------------------------------------
@@ -121,6 +130,9 @@ class MaterializedView:
         rule = parse_rule(rule) if isinstance(rule, str) else rule
         for name, arity in check_arities([rule], {n: r.arity for n, r in self.relations.items()}).items():
             self._relation(name, arity)
+        if weight > 0:  # a rule that contradicts known column types does not enter
+            active = [self._seen_rules[k] for k in {*self._rules, *self._pending_rules} if self._rules.get(k, (None, 0))[1] + self._pending_rules[k] > 0]
+            infer_types([*active, rule], self._types())
         self._seen_rules.setdefault(rule.key(), rule)
         self._pending_rules[rule.key()] += weight
         self._safe = False
@@ -140,61 +152,101 @@ class MaterializedView:
             return None
         return union(frames).groupBy(*columns(relation.arity)).agg(F.sum("weight").alias("weight")).filter("weight <> 0")
 
-    def _apply_base(self, rounds: Rounds) -> tuple[dict[str, Change], dict[str, Change]]:
-        """Folds pending weights in; the base facts that begin and cease to hold."""
-        plus, minus = {}, {}
+    def _types(self) -> dict[str, list[T.DataType]]:
+        return {n: r.types for n, r in self.relations.items() if r.types is not None}
+
+    @contextmanager
+    def undone_on_error(self) -> Iterator[None]:
+        """What is pushed and retracted within goes again if an error leaves it."""
+        kept = {n: list(f) for n, f in self._facts.items()}, {n: list(f) for n, f in self._frames.items()}, Counter(self._pending_rules), self._safe
+        try:
+            yield
+        except BaseException:
+            self._facts, self._frames, self._pending_rules, self._safe = kept
+            raise
+
+    def _apply_base(self, rounds: Rounds) -> tuple[dict[str, Change], dict[str, Change], dict[str, list[Part]]]:
+        """The base facts that begin and cease to hold with the pending weights, and the logs with these."""
+        plus, minus, logs = {}, {}, {}
         for name in sorted({*self._facts, *self._frames}):
-            relation, pending = self.relations[name], self._pending(name)
-            names = columns(relation.arity)
-            if relation.base is None:
-                changed = pending.withColumn("before", F.lit(0).cast("long"))
-            else:
-                old = self._base(name).toDF(*[f"o_{c}" for c in names], "before")
-                changed = pending.join(old, [F.col(c) == F.col(f"o_{c}") for c in names], "left").select(*names, "weight", F.coalesce("before", F.lit(0)).cast("long").alias("before"))
-            settled = rounds.settle({name: changed.select(*names, (F.col("before") + F.col("weight")).alias("weight"), "before")})
+            relation, names = self.relations[name], columns(self.relations[name].arity)
+            settled = rounds.settle({name: pending}) if (pending := self._pending(name)) is not None else {}
             if name not in settled:
                 continue
-            now = settled[name].frame
-            counts = now.agg(F.count_if(F.expr("before <= 0 AND weight > 0")).alias("p"), F.count_if(F.expr("before > 0 AND weight <= 0")).alias("m")).first()
-            if counts["p"]:
-                plus[name] = Change(now.filter("before <= 0 AND weight > 0").select(*names), counts["p"])
-            if counts["m"]:
-                minus[name] = Change(now.filter("before > 0 AND weight <= 0").select(*names), counts["m"])
-            if relation.base is None:
-                relation.base = settled[name].path  # its columns weight and before: the weight counts
-            else:
-                rest = _anti(self._base(name), now.select(*names), names).unionByName(now.filter("weight <> 0").select(*names, "weight"))
-                kept = rounds.settle({name: rest})
-                relation.base = kept[name].path if name in kept else None
-        return plus, minus
-
-    def _base(self, name: str) -> DataFrame:
-        relation = self.relations[name]
-        return self.spark.read.schema(T.StructType([*relation.schema.fields, T.StructField("weight", T.LongType())])).parquet(relation.base)
+            new = settled[name]
+            logs[name] = [*relation.base, Part(new.path, new.rows)]
+            if not relation.base:
+                held = new.frame.agg(F.count_if(F.expr("weight > 0")).alias("p")).first()["p"]
+                if held:
+                    plus[name] = Change(new.frame.filter("weight > 0").select(*names), held, new.path if held == new.rows else "")
+                continue
+            # of the log only the rows of the changed facts
+            old = self._net(within(self._log(relation, relation.base), new.frame.select(*names), new.rows), names).toDF(*[f"o_{c}" for c in names], "before")
+            changed = new.frame.join(old, [F.col(c) == F.col(f"o_{c}") for c in names], "left").select(*names, "weight", F.coalesce("before", F.lit(0)).cast("long").alias("before"))
+            moved = changed.filter("(before > 0) <> (before + weight > 0)").select(*names, F.expr("before <= 0").alias("came"))
+            for c in rounds.settle({name: moved}).values():
+                came = c.frame.agg(F.count_if("came").alias("n")).first()["n"]
+                for side, n, rows in ((plus, came, "came"), (minus, c.rows - came, "NOT came")):
+                    if n:
+                        side[name] = Change(c.frame.filter(rows).select(*names), n, c.path if n == c.rows else "")
+            if len(logs[name]) > PARTS:
+                logs[name] = [Part(c.path, c.rows) for c in rounds.settle({name: self._net(self._log(relation, logs[name]), names).filter("weight <> 0")}).values()]
+        return plus, minus, logs
+
+    def _log(self, relation: Relation, log: list[Part]) -> DataFrame:
+        return self.spark.read.schema(T.StructType([*relation.schema.fields, T.StructField("weight", T.LongType())])).parquet(*[p.path for p in log])
+
+    def _net(self, log: DataFrame, names: list[str]) -> DataFrame:
+        return log.groupBy(*names).agg(F.sum("weight").alias("weight"))
 
     def poll(self) -> PollStats:
+        """Brings all relations up to date. Raises and changes nothing if the rules contradict each other's or the facts' types."""
         began = time.time()
-        for relation in self.relations.values():
-            relation.frontier = None
         self._folder = self._folder or scratch(self.spark, "view")
         rounds = Rounds(self.spark, self._folder)
+        try:
+            stats = self._poll(rounds)
+        except BaseException:
+            self._garbage |= rounds.written
+            raise
+        finally:
+            if not self.durable:
+                self.sweep()
+        stats.seconds = time.time() - began
+        log.info("poll: %.0f ms, %d rounds", stats.seconds * 1000, stats.rounds)
+        return stats
+
+    def sweep(self) -> None:
+        """Deletes the files that nothing reads any more."""
+        while self._garbage:
+            remove(self.spark, self._garbage.pop())
+
+    def _poll(self, rounds: Rounds) -> PollStats:
         used = self._paths()
-        base_plus, base_minus = self._apply_base(rounds)
-        was = {k: n for k, (_, n) in self._rules.items() if n > 0}
+        was = {k for k, (_, n) in self._rules.items() if n > 0}
+        counts = dict(self._rules)
         for key, weight in self._pending_rules.items():
-            self._rules[key] = (self._seen_rules[key], self._rules.get(key, (None, 0))[1] + weight)
-        now = {k: n for k, (_, n) in self._rules.items() if n > 0}
-        rule = lambda k: self._seen_rules[k]
-        old_rules, new_rules = [rule(k) for k in was], [rule(k) for k in now]
-        added, removed = [rule(k) for k in now if k not in was], [rule(k) for k in was if k not in now]
-        types = infer_types(new_rules, {n: r.types for n, r in self.relations.items() if r.types is not None})
-        for name, found in types.items():
-            self.relations[name].types = found
-        before = {n: list(r.rows or []) for n, r in self.relations.items()}
+            counts[key] = (self._seen_rules[key], counts.get(key, (None, 0))[1] + weight)
+        now = {k for k, (_, n) in counts.items() if n > 0}
+        rule = self._seen_rules
+        old_rules, new_rules = [rule[k] for k in counts if k in was], [rule[k] for k in counts if k in now]
+        added, removed = [rule[k] for k in counts if k in now - was], [rule[k] for k in counts if k in was - now]
+        types = infer_types(new_rules, self._types())
+        # nothing of the view changes before the end
+        base_plus, base_minus, logs = self._apply_base(rounds)
+        before = {n: list(r.rows) for n, r in self.relations.items()}
         after = {n: list(p) for n, p in before.items()}
-        schema = lambda n: self.relations[n].schema
+        schema = lambda n: T.StructType([T.StructField(c, t) for c, t in zip(columns(self.relations[n].arity), types[n], strict=True)])
         old = lambda n: rounds.read(before[n], schema(n)) if before.get(n) else None
         new = lambda n: rounds.read(after[n], schema(n)) if after.get(n) else None
+
+        def holding(name: str, rows: Change) -> DataFrame | None:
+            relation = self.relations[name]
+            if not (log := logs.get(name, relation.base)):
+                return None
+            names = columns(relation.arity)
+            return self._net(within(self._log(relation, log), rows.frame, rows.rows), names).filter("weight > 0").select(*names)
+
         plus: dict[str, Change] = {}
         minus: dict[str, Change] = {}
         for names in components([*old_rules, *added], self.relations):
@@ -202,44 +254,38 @@ class MaterializedView:
             touched = any(n in base_plus or n in base_minus for n in names) or any(n in plus or n in minus for n in reads) or any(r.head.symbol in names for r in [*added, *removed])
             if not touched:
                 continue
-            own = Component(self.spark, names, old_rules, new_rules, added, removed, old, new, before, schema, rounds)
+            own = Component(names, old_rules, new_rules, added, removed, old, new, before, schema, rounds)
             pick = lambda changes, of: {n: c for n, c in changes.items() if n in of}
-            came, gone = own.run(pick(base_plus, names), pick(base_minus, names), pick(plus, reads), pick(minus, reads), self._visible)
+            came, gone = own.run(pick(base_plus, names), pick(base_minus, names), pick(plus, reads), pick(minus, reads), holding)
             for n in {*came, *gone}:
-                rows_in = union([c.frame for c in came[n]]) if n in came else None
                 if n not in gone:
-                    plus[n] = Change(rows_in, sum(c.rows for c in came[n]))
+                    plus[n] = came[n]
+                elif n not in came:
+                    minus[n] = gone[n]
                 else:  # what went and came back is no change
-                    out = union(gone[n])
-                    net = {"-": out if rows_in is None else without(out, rows_in)} | ({"+": without(rows_in, out)} if rows_in is not None else {})
+                    net = {"-": without(gone[n].frame, came[n].frame, came[n].rows), "+": without(came[n].frame, gone[n].frame, gone[n].rows)}
                     for sign, c in rounds.settle(net).items():
                         (plus if sign == "+" else minus)[n] = c
                 after[n] = own.parts[n]
-                if len(after[n]) > PARTS:
-                    after[n] = [c.path for c in rounds.settle({n: own.state(n).repartition(*columns(self.relations[n].arity))}).values()]
-        for n in {*plus, *minus}:
-            sides = [c.frame.withColumn("weight", F.lit(w).cast("long")) for c, w in ((plus.get(n), 1), (minus.get(n), -1)) if c]
-            self.relations[n].frontier = union(sides)
-        for n, paths in after.items():
-            self.relations[n].rows = paths
+                lost = sum(p.rows for p in after[n] if p.sign < 0)
+                if len(after[n]) > PARTS or lost > BROADCAST_ROWS:
+                    after[n] = [Part(c.path, c.rows) for c in rounds.settle({n: own.state(n).repartition(*columns(self.relations[n].arity))}).values()]
+        frontiers = {n: union([c.frame.withColumn("weight", F.lit(w).cast("long")) for c, w in ((plus.get(n), 1), (minus.get(n), -1)) if c]) for n in {*plus, *minus}}
+        # the swap
+        for n, relation in self.relations.items():
+            relation.types, relation.base, relation.rows, relation.frontier = types.get(n), logs.get(n, relation.base), after[n], frontiers.get(n)
+        self._rules = counts
+        self._facts, self._frames, self._pending_rules, self._safe = {}, {}, Counter(), True
         # the last poll's files that nothing reads any more; this poll's stay for the frontier
-        for path in (used | self._old) - self._paths() - rounds.written:
-            remove(self.spark, path)
+        self._garbage |= (used | self._old) - self._paths() - rounds.written
         self._old = rounds.written
-        self._facts, self._frames, self._pending_rules, self._safe = {}, {}, Counter(), True
-        stats = PollStats(time.time() - began, rounds.made, {n: (plus[n].rows if n in plus else 0, minus[n].rows if n in minus else 0) for n in {*plus, *minus}})
-        log.info("poll: %.0f ms, %d rounds", stats.seconds * 1000, stats.rounds)
-        return stats
+        return PollStats(0.0, rounds.made, {n: (plus[n].rows if n in plus else 0, minus[n].rows if n in minus else 0) for n in frontiers})
 
     def _paths(self) -> set[str]:
-        return {p for r in self.relations.values() for p in [*(r.rows or []), *([r.base] if r.base else [])]}
-
-    def _visible(self, name: str) -> DataFrame | None:
-        relation = self.relations[name]
-        return self._base(name).filter("weight > 0").select(*columns(relation.arity)) if relation.base else None
+        return {p.path for r in self.relations.values() for p in [*r.rows, *r.base]}
 
     def _rows(self, relation: Relation) -> DataFrame | None:
-        return self.spark.read.schema(relation.schema).parquet(*relation.rows) if relation.rows else None
+        return Rounds(self.spark, "").read(relation.rows, relation.schema) if relation.rows else None
 
     # -- reading -------------------------------------------------------------------------------------------------
     def _known(self, name: str) -> Relation:
@@ -311,9 +357,3 @@ class MaterializedView:
 
     def __len__(self) -> int:
         return sum(self._rows(r).count() for r in self.relations.values() if r.rows)
-
-
-def _anti(base: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
-    """Rows of base (columns, weight) whose columns are not among keys."""
-    other = keys.toDF(*[f"n_{c}" for c in names])
-    return base.join(other, [F.col(c) == F.col(f"n_{c}") for c in names], "left_anti")

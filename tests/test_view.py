@@ -143,3 +143,92 @@ def test_changelog(spark, tmp_path):
     seen = []
     attach_changelog(v, stream, {"e": ["x", "y"], "f": ["x"]}, f"{tmp_path}/ck", sink=lambda n, f: seen.append((n, f.count())), watched=["tc"]).awaitTermination()
     assert rows(v.query("tc")) == {(1, 2), (2, 3), (1, 3)} and rows(v.query("f")) == {(9,)} and seen == [("tc", 3)]
+
+
+def test_a_refused_poll_changes_nothing(spark):
+    v = view(spark, 'p(?x) <- [e("a", ?x)]')
+    v.push_fact("e", (1, 2))  # contradicts the rule's constant, which is known at the poll
+    for _ in range(2):
+        with pytest.raises(TermTypeError):
+            v.poll()
+    v.retract_rule('p(?x) <- [e("a", ?x)]')
+    v.poll()
+    assert rows(v.query("e")) == {(1, 2)}
+    v.retract_fact("e", (1, 2))  # pushed once, so one retraction ends it
+    v.poll()
+    assert rows(v.query("e")) == set() and rows(v.query_frontier("e")) == {(1, 2, -1)}
+    with pytest.raises(TermTypeError):
+        v.push_rule('q(?x) <- [e("a", ?x)]')  # the types are known now: it does not enter
+    v.push_fact("e", (3, 4))
+    v.poll()
+    assert rows(v.query("e")) == {(3, 4)}
+
+
+def test_frontiers_of_all_arities_with_goals(spark):
+    v = view(spark, "u(?x) <- [t(?x, ?y, ?z)], w(?z, ?y, ?x) <- [t(?x, ?y, ?z)]", t=[(1, 2, 3), (4, 5, 6)])
+    v.poll()
+    v.retract_fact("t", (1, 2, 3))
+    v.push_fact("t", (7, 2, 9))
+    v.poll()
+    assert rows(v.query_frontier_unary("u")) == {(1, -1), (7, 1)} and rows(v.query_frontier_unary("u", (7,))) == {(7, 1)}
+    assert rows(v.query_frontier_ternary("w", (ANY, 2, ANY))) == {(3, 2, 1, -1), (9, 2, 7, 1)} and rows(v.query_frontier_ternary("w", (9, ANY, 7))) == {(9, 2, 7, 1)}
+    with pytest.raises(ArityError):
+        v.query_frontier_binary("u", (ANY, ANY))
+
+
+def test_a_small_change_shuffles_no_relation(spark, monkeypatch):
+    """The plans that a poll of one fact writes hold exchanges of the change only: nothing but broadcasts and aggregates of few rows."""
+    from rillview.operators import fixpoint
+
+    v = view(spark, TC)
+    v.push_df("e", spark.range(3000).selectExpr("id AS x", "id div 3 AS y"))
+    v.poll()
+    size = len(v)
+    written, settle = [], fixpoint.Rounds.settle
+
+    def seen(self, frames):
+        written.extend(f._jdf.queryExecution().executedPlan().toString() for f in frames.values())
+        return settle(self, frames)
+
+    monkeypatch.setattr(fixpoint.Rounds, "settle", seen)
+    v.push_fact("e", (9000, 7))
+    v.poll()
+    assert rows(v.query_frontier("tc")) == {(9000, 7, 1), (9000, 2, 1), (9000, 0, 1)} and len(v) == size + 4
+    v.retract_fact("e", (9000, 7))
+    v.poll()
+    assert len(v) == size and rows(v.query_frontier("e")) == {(9000, 7, -1)}
+    assert written and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in written)
+
+
+def test_changelog_survives_a_new_driver_and_a_failing_batch(spark, tmp_path):
+    from rillview.sources.tables import facts, frontier_writer
+    from rillview.streaming.changelog import attach_changelog
+
+    put = lambda n, part: spark.createDataFrame(part, "x long, y long, weight long").write.mode("append").parquet(f"{tmp_path}/in")
+    read = lambda: spark.readStream.schema("x long, y long, weight long").parquet(f"{tmp_path}/in")
+    program = parse_program(TC)
+    put(0, [(1, 2, 1), (2, 3, 1)])
+    v = MaterializedView(spark, program)
+    attach_changelog(v, read(), "e", f"{tmp_path}/ck", frontier_writer(f"{tmp_path}/out"), ["tc"]).awaitTermination()
+    assert rows(facts(spark, f"{tmp_path}/out/tc")) == {(1, 2, 1), (2, 3, 1), (1, 3, 1)}
+    put(1, [(3, 4, 1), (1, 2, -1)])
+    v2 = MaterializedView(spark, program)  # as after a restart: nothing in memory
+    poll, calls = v2._poll, []
+
+    def fails_once(rounds):
+        calls.append(1)
+        if len(calls) == 2:  # the first poll takes up the manifest
+            raise RuntimeError("lost")
+        return poll(rounds)
+
+    v2._poll = fails_once
+    with pytest.raises(Exception, match="lost"):
+        attach_changelog(v2, read(), "e", f"{tmp_path}/ck").awaitTermination()
+    attach_changelog(v2, read(), "e", f"{tmp_path}/ck").awaitTermination()
+    assert rows(v2.query("e")) == {(2, 3), (3, 4)} and rows(v2.query("tc")) == {(2, 3), (3, 4), (2, 4)}
+    v3 = MaterializedView(spark, program)
+    attach_changelog(v3, read(), "e", f"{tmp_path}/ck").awaitTermination()
+    assert rows(v3.query("tc")) == rows(v2.query("tc"))
+    v3.push_fact("e", (1, 2))
+    v3.poll()
+    assert v3.contains("tc", (1, 4))
