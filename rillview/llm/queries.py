@@ -28,7 +28,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_toxicity": lambda s, d: toxicity.toxic_spans(_documents(s, d), table(s, d, "labels")).drop("spans"),
+    "op1_toxicity": lambda s, d: toxicity.toxic_spans(_documents(s, d), table(s, d, "labels")),
     "op2_neighbours": lambda s, d: neighbours.nearest(table(s, d, "embeddings")),
     "op3_quality": lambda s, d: quality.quality_scores(_documents(s, d), table(s, d, "labels")),
     "op4_tokenize": lambda s, d: tokenize.encode_documents(_documents(s, d)),

@@ -3,8 +3,8 @@
 Labelled tokens come from labelled documents: from a bounded sample of learning rows, a cover of marker features (whole
 words or prefixes that stand in toxic and hardly in other texts) is chosen greedily, and a word of a toxic text that
 carries a marker is labelled 1; the fewer toxic texts a feature stands in, the surer it must be. A chain of two states is fitted to these labels by gradient ascent on the conditional
-likelihood. Forward-backward gives every word of every text its marginal; a logistic function of a text's marginals and
-their number, corrected to the share of toxic rows among all learning rows, is its score, and words at or over 0.5 are its
+likelihood. Forward-backward gives every word of every text its marginal; a logistic function of aggregates of a text's marginals (highest, sum, mean),
+corrected to the share of toxic rows among all learning rows, is its score, and words at or over 0.5 are its
 spans.
 
 The chain's messages are ratios that pass through 2x2 matrices, so texts of a batch are laid end to end with resets and
@@ -133,16 +133,17 @@ class Chain:
         return forward_backward(s, starts, self.a)[0]
 
     def summary(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text: 1, the log odds of its highest marginal, the logs of the sum and the number of marginals; and all marginals."""
+        """For each text: 1, the log odds of its highest marginal, the logs of the sum and the mean of its marginals; and all marginals."""
         p = self.marginals(texts)
-        out = np.tile([1.0, -8.0, 0.0, 0.0], (len(texts), 1))
-        out[:, 3] = np.log1p([len(t) for t in texts])
+        out = np.tile([1.0, -8.0, 0.0, -8.0], (len(texts), 1))
         if len(p):
             some = np.array([bool(t) for t in texts])
             starts = _starts(texts)
             top = np.clip(np.maximum.reduceat(p, starts), 1e-12, 1 - 1e-12)
             out[some, 1] = np.clip(np.log(top / (1 - top)), -8, 8)
-            out[some, 2] = np.log1p(np.add.reduceat(p, starts))
+            total = np.add.reduceat(p, starts)
+            out[some, 2] = np.log1p(total)
+            out[some, 3] = np.log(total / [len(t) for t in texts if t] + np.exp(-8))
         return out, p
 
 
@@ -235,15 +236,15 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 1000) -> Chain | None:
-    """Draws at most about `sample` toxic and `sample` other learning rows by a hash of the text; the shares are counted over all."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 1000, longest: int = 200_000) -> Chain | None:
+    """Draws at most about `sample` toxic and `sample` other learning rows of at most `longest` characters by a hash of the id, which bounds what the driver gets; the shares are counted over all."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("the_label"))
     known = known.filter(~held_out(F.col("doc_id")))
     n = {r["the_label"]: r["n"] for r in known.groupBy("the_label").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return None
     some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.when(F.col("the_label") == 1, min(1.0, sample / n[1])).otherwise(min(1.0, sample / n[0])) * (1 << 30))
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "the_label").dropDuplicates(["text"]).collect()  # `sample` bounds the broadcast
+    got = docs.select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= longest).join(F.broadcast(some), "doc_id").select("text", "the_label").dropDuplicates(["text"]).collect()  # `sample` bounds the broadcast
     got.sort(key=lambda r: (r["text"] or ""))
     toxic = np.array([r["the_label"] == 1 for r in got], dtype=bool)
     if not toxic.any() or toxic.all():
