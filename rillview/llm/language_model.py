@@ -1,9 +1,10 @@
 """Document log-likelihood under a gated recurrent language model in numpy.
 
 A gated recurrent unit reads a text's tokens; its state predicts the next token's class, then the token within the class
-(classes of equal size by frequency). It is begun on a sample of learning rows by truncated backpropagation; then every partition
-goes on from there over all its learning rows, each token once, and the parameters are averaged by the partitions' tokens. When
-texts are scored, the state is carried from window to window through each whole text, however long.
+(classes of equal size by frequency). It learns by truncated backpropagation from all learning rows, each token once: the rows are
+dealt by hash to slices (`SLICES`); for each slice in turn every partition goes on from the model over all its rows, and the model
+becomes the mean of the results, weighted by tokens. Nothing is fitted on the driver. When texts are scored, the state is
+carried from window to window through each whole text, however long.
 
 The model's words are the most frequent of all learning rows: `model_words` up to `sample` rows, and by the root of the rows' number more
 beyond. Any other token has the probability of the model's unknown
@@ -28,10 +29,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillview.llm.common import chunks, fold, stored
+from rillview.llm.common import chunks, discard, fold, stored
 
 UNKNOWN, END = 0, 1
 LANES, STEPS = 1024, 32
+#: Shares of the learning rows that are read between two means, and how many lanes read them: small windows first.
+SLICES = ((1 / 32, 64), (3 / 32, 256), (7 / 8, 1024))
 #: Parameters that are averaged at once.
 BLOCK = 4096
 END_HASH = 0x7265_6375_7272_656E  # stands for the end token
@@ -41,6 +44,12 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def _log_sum(a: np.ndarray) -> np.ndarray:
+    """log(exp(a).sum(1)), for large a too."""
+    top = a.max(1)
+    return top + np.log(np.exp(a - top[:, None]).sum(1))
+
+
 class Gru:
     def __init__(self, words: int, hidden: int = 16, per_class: int = 64, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -67,30 +76,16 @@ class Gru:
         """Natural logarithms of the targets' probabilities."""
         cls = target // self.per
         a = h @ self.p["c"] + self.p["cb"]
-        out = np.take_along_axis(a, cls[:, None], 1)[:, 0] - np.log(np.exp(a).sum(1))
+        out = np.take_along_axis(a, cls[:, None], 1)[:, 0] - _log_sum(a)
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
         for c in range(self.classes):
             rows = order[edges[c] : edges[c + 1]]
             if len(rows):
                 a = h[rows] @ self.p["w"][c] + self.p["wb"][c]
-                out[rows] += a[np.arange(len(rows)), target[rows] - c * self.per] - np.log(np.exp(a).sum(1))
+                out[rows] += a[np.arange(len(rows)), target[rows] - c * self.per] - _log_sum(a)
         return out
 
-    def fit(self, texts: list[np.ndarray], updates: int, lanes: int = 64, steps: int = 16) -> None:
-        """`updates` windows of `steps` tokens, from the start again at the end; states are carried from window to window, gradients are not."""
-        stream = np.concatenate([np.append(t, END) for t in texts]) if texts else np.zeros(0, np.int64)
-        width = len(stream) // lanes
-        if width < 2:
-            return
-        grid = stream[: width * lanes].reshape(lanes, width)
-        h, at = np.zeros((lanes, self.h), np.float32), 0
-        for _ in range(updates):
-            if at + steps + 1 > width:
-                at, h = 0, np.zeros_like(h)
-            h = self._window(grid[:, at : at + steps + 1], h)
-            at += steps
-
     def read(self, stream: np.ndarray, lanes: int = 256, steps: int = 16) -> None:
         """Learns from every token of the stream once."""
         width = -(-len(stream) // lanes) + 1
@@ -105,14 +100,24 @@ class Gru:
 
     def _window(self, grid: np.ndarray, h: np.ndarray, rate: float = 0.1) -> np.ndarray:
         """One AdaGrad step over a window, whose last column is only a target; the state behind it."""
-        lanes, steps = len(grid), grid.shape[1] - 1
         for key, v in self.p.items():
             if key not in self.squares:
                 self.squares[key] = np.full_like(v, 1e-6)
+        g, words, h = self.gradients(grid, h)
+        for key, v in g.items():
+            at = words if key == "x" else slice(None)
+            v /= (len(grid) * (grid.shape[1] - 1)) ** 0.5
+            self.squares[key][at] += v * v
+            self.p[key][at] -= np.float32(rate) * np.clip(v, -1, 1) / np.sqrt(self.squares[key][at])
+        return h
+
+    def gradients(self, grid: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Of the negative log-likelihood (of x: only the rows of these words), and the state behind the window."""
+        lanes, steps = len(grid), grid.shape[1] - 1
         kept, states = [], []
         for t in range(steps):
             now = grid[:, t]
-            before = np.where((now == END)[:, None], 0, h).astype(np.float32)  # a new text begins
+            before = np.where((now == END)[:, None], 0, h).astype(h.dtype)  # a new text begins
             h, *rest = self.step(self.p["x"][now], before)
             kept.append((now, before, *rest))
             states.append(h)
@@ -132,13 +137,8 @@ class Gru:
         # of x only the rows of the window's words change
         words, place = np.unique(grid[:, :-1].T.reshape(-1), return_inverse=True)
         order = np.argsort(place, kind="stable")
-        g["x"] = np.add.reduceat(np.concatenate(dx)[order], np.searchsorted(place[order], np.arange(len(words))), axis=0).astype(np.float32)
-        for key, v in g.items():
-            at = words if key == "x" else slice(None)
-            v /= len(target) ** 0.5
-            self.squares[key][at] += v * v
-            self.p[key][at] -= np.float32(rate) * np.clip(v, -1, 1) / np.sqrt(self.squares[key][at])
-        return h
+        g["x"] = np.add.reduceat(np.concatenate(dx)[order], np.searchsorted(place[order], np.arange(len(words))), axis=0).astype(h.dtype)
+        return g, words, h
 
     def _output_gradient(self, h: np.ndarray, target: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
         cls = target // self.per
@@ -241,7 +241,7 @@ def most_frequent(learning: DataFrame, n: int) -> list[bytes]:
     return counts.orderBy(F.desc("n"), "token").limit(n).toArrow().column("token").to_pylist()
 
 
-def learn_all(model: Model, learning: DataFrame) -> None:
+def learn_all(model: Model, learning: DataFrame, lanes: int) -> None:
     """Each partition goes on from the model over all its rows; the model takes the mean of the results, weighted by tokens."""
     shared = learning.sparkSession.sparkContext.broadcast(model)
     sizes = {k: v.size for k, v in model.gru.p.items()}
@@ -251,7 +251,7 @@ def learn_all(model: Model, learning: DataFrame) -> None:
         gru = copy.deepcopy(m.gru)
         for batch in chunks(batches, 0):
             stream = np.concatenate([np.append(m.own_numbers(t), END) for t in batch.column(0).to_pylist()])
-            gru.read(stream)
+            gru.read(stream, max(1, min(lanes, len(stream) // 32)))
             seen += len(stream)
         if seen:
             flat = np.concatenate([gru.p[k].reshape(-1) for k in sizes])
@@ -271,21 +271,19 @@ def learn_all(model: Model, learning: DataFrame) -> None:
     model.gru.squares = {}
 
 
-def log_likelihoods(docs: DataFrame, sample: int = 3000, model_words: int = 4096, listed: int = 150_000, updates: int = 1500) -> DataFrame:
+def log_likelihoods(docs: DataFrame, sample: int = 3000, model_words: int = 4096, listed: int = 150_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     learning = docs.filter("NOT held_out")
     n_learn = learning.count()
-    drawn = learning.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < min(1.0, sample / max(1, n_learn)) * (1 << 30))
-    texts = sorted(r["text"] or "" for r in drawn.select("text").collect())
-    np.random.default_rng(5).shuffle(texts)
     own_words = round(model_words * max(1.0, n_learn / sample) ** 0.5)
     model = Model(most_frequent(learning, max(listed, own_words) - 2), own_words)
-    model.gru.fit([model.own_numbers(t) for t in texts], updates)
-    del texts
-    learn_all(model, learning)
+    dealt, low = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / (1 << 20), 0.0
+    for share, lanes in SLICES:
+        learn_all(model, learning.filter((dealt >= low) & (dealt < low + share)), lanes)
+        low += share
     shared = spark.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,19 +319,21 @@ def log_likelihoods(docs: DataFrame, sample: int = 3000, model_words: int = 4096
         if len(seen):
             yield pa.RecordBatch.from_arrays([pa.array(hashes[seen]), pa.nulls(len(seen), id_type), pa.array([-1] * len(seen), pa.int32()), pa.array([0] * len(seen), pa.int32()), pa.array(sums[seen]), pa.array([0] * len(seen), pa.int32())], names=names)
 
-    counted = docs.mapInArrow(count, f"hash bigint, doc_id {kind}, bits int, times int, learned bigint, head int")
-    counted = counted.withColumn("c", F.expr("sum(learned) OVER (PARTITION BY hash)")).withColumn("nth", F.expr("row_number() OVER (PARTITION BY hash ORDER BY bits)"))
+    counted = stored(docs.mapInArrow(count, f"hash bigint, doc_id {kind}, bits int, times int, learned bigint, head int"))
+    # summed before the shuffle; the join back is one that adaptive execution splits where a token is frequent
+    corpus = stored(counted.groupBy("hash").agg(F.sum("learned").alias("c"), F.max("bits").alias("any")))
     known = F.col("c") > 0
-    per = counted.groupBy("doc_id", "bits", F.when(F.col("bits") == -1, F.col("hash")).alias("listed")).agg(
-        F.sum(F.log10(F.col("c") + 1) * F.col("times")).alias("logs"), F.sum(F.when(known, F.col("times")).otherwise(0)).alias("n_known"), F.sum("times").alias("n_rare"),
-        F.sum(F.when((F.col("nth") == 1) & known, 1).otherwise(0)).alias("kinds"), F.sum("head").alias("copies"), F.max("c").alias("c"), F.sum(F.when(F.col("bits") >= 0, F.col("learned")).otherwise(0)).alias("learned"),
+    per = counted.filter("bits >= 0").join(corpus.select("hash", "c"), "hash").groupBy("doc_id", "bits").agg(
+        F.sum(F.log10(F.col("c") + 1) * F.col("times")).alias("logs"), F.sum(F.when(known, F.col("times")).otherwise(0)).alias("n_known"), F.sum("head").alias("copies"),
     )
     per = stored(per)
-    of = {r["listed"]: r["c"] for r in per.filter("bits = -1").select("listed", "c").collect()}  # `listed` rows at most
+    of = {r["hash"]: r["c"] for r in corpus.filter("any = -1").select("hash", "c").collect()}  # `listed` rows at most
     counts = np.array([of.get(h, 0) for h in model.hashes.tolist()], np.int64)
     counts[UNKNOWN] = 0
-    totals = per.agg(F.sum("kinds").alias("v"), F.sum("learned").alias("n")).first()
-    v, n = int(totals["v"] or 0), int(counts.sum()) + int(totals["n"] or 0)
+    totals = corpus.filter("any >= 0").agg(F.count_if(F.col("c") > 0).alias("v"), F.sum("c").alias("n")).first()
+    v, n = int(totals["v"] or 0) + int((counts > 0).sum()), int(counts.sum()) + int(totals["n"] or 0)
+    discard(counted)
+    discard(corpus)
     own = counts[: model.own]
     z = float((n - own.sum()) + (v - (own > 0).sum()) + 1)
     tables = spark.sparkContext.broadcast((np.log10(counts + 1.0), counts > 0))
@@ -360,7 +360,7 @@ def log_likelihoods(docs: DataFrame, sample: int = 3000, model_words: int = 4096
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits, pa.int32()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(other, pa.float64()), pa.array(n_other, pa.int64()), pa.array(got, pa.float64())], names=["doc_id", "held_out", "bits", "n_tokens", "known", "base", "other", "n_other", "net"])
 
     scored = docs.mapInArrow(score, f"doc_id {kind}, held_out boolean, bits int, n_tokens bigint, known bigint, base double, other double, n_other bigint, net double")
-    rest = per.filter("bits >= 0").select(F.col("doc_id").alias("r_id"), F.col("bits").alias("r_bits"), (F.col("logs") / F.col("copies")).alias("logs"), (F.col("n_known") / F.col("copies")).cast("long").alias("more"))
+    rest = per.select(F.col("doc_id").alias("r_id"), F.col("bits").alias("r_bits"), (F.col("logs") / F.col("copies")).alias("logs"), (F.col("n_known") / F.col("copies")).cast("long").alias("more"))
     both = scored.join(rest, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("bits") == F.col("r_bits")), "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return both.select(

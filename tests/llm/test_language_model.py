@@ -9,7 +9,7 @@ def test_rows_beyond_the_sample_count(spark):
     """Words and transitions of rows that the first sample leaves out, even if it is all but empty."""
     made = [" ".join(["left", "right", "up", "down"][(i + k) % 4] for k in range(60)) for i in range(400)]
     docs = spark.createDataFrame(enumerate(made), "doc_id long, text string").repartition(2)
-    got = language_model.log_likelihoods(docs, sample=1, model_words=64, updates=5).collect()
+    got = language_model.log_likelihoods(docs, sample=1, model_words=64).collect()
     assert np.mean([r["score"] - r["base_score"] for r in got if r["held_out"]]) > 3
 
 
@@ -19,3 +19,62 @@ def test_every_token_is_read_once():
     stream = np.arange(2, 62).repeat(11)
     net.read(stream, lanes=8, steps=16)
     assert np.array_equal(np.hstack(seen).reshape(-1)[: len(stream)], stream)
+
+
+def small_net():
+    net = language_model.Gru(50, hidden=5, per_class=8, seed=1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["u"] += 0.5 * np.random.default_rng(2).standard_normal(net.p["u"].shape)
+    return net
+
+
+def by_hand(net, text):
+    """log10 probability of a text, one token at a time, by the formulas."""
+    p, k, h, was, total = net.p, net.h, np.zeros(net.h), language_model.END, 0.0
+    for w in text:
+        x, hu = p["x"][was], h @ p["u"]
+        r, z = 1 / (1 + np.exp(-(x[:k] + hu[:k]))), 1 / (1 + np.exp(-(x[k : 2 * k] + hu[k : 2 * k])))
+        h = (1 - z) * np.tanh(x[2 * k :] + r * hu[2 * k :]) + z * h
+        c, i = divmod(w, net.per)
+        of_class, of_word = np.exp(h @ p["c"] + p["cb"]), np.exp(h @ p["w"][c] + p["wb"][c])
+        total += np.log10(of_class[c] / of_class.sum() * of_word[i] / of_word.sum())
+        was = w
+    return total
+
+
+def test_scores_equal_the_formulas():
+    net, rng = small_net(), np.random.default_rng(4)
+    texts = [np.append(rng.integers(2, 50, n), language_model.END) for n in (0, 1, 31, 32, 33, 200)]
+    assert np.allclose(net.score(texts), [by_hand(net, t) for t in texts], rtol=1e-5)
+
+
+def test_large_logits_do_not_overflow():
+    net = language_model.Gru(50)
+    net.p["cb"] += np.float32(500)
+    net.p["wb"] += np.float32(500)
+    assert np.isfinite(net.score([np.array([5, 9, language_model.END])])).all()
+
+
+def test_gradients_equal_finite_differences():
+    net, rng = small_net(), np.random.default_rng(5)
+    grid = rng.integers(1, 50, (3, 6))
+
+    def loss():
+        h, total = np.zeros((3, net.h)), 0.0
+        for t in range(5):
+            h = net.step(net.p["x"][grid[:, t]], np.where((grid[:, t] == language_model.END)[:, None], 0, h))[0]
+            total -= net.log_probs(h, grid[:, t + 1]).sum()
+        return total
+
+    g, words, _ = net.gradients(grid, np.zeros((3, net.h)))
+    for key, v in g.items():
+        flat = v.reshape(-1)
+        for at in rng.choice(len(flat), min(12, len(flat)), replace=False):
+            place = np.unravel_index(at, v.shape)
+            own = (words[place[0]], *place[1:]) if key == "x" else place
+            net.p[key][own] += 1e-5
+            up = loss()
+            net.p[key][own] -= 2e-5
+            down = loss()
+            net.p[key][own] += 1e-5
+            assert abs((up - down) / 2e-5 - flat[at]) < 1e-4, key
