@@ -7,7 +7,8 @@ the least hashes over all training rows); everything else reads all rows.
 
 Defined cases: a text that is null, empty or without a letter gives `und` with score 0; rows whose language is null are
 not learned from; without any training row every text gives `und`; with one language every text with a letter gives that
-language; repeated rows and null ids are scored like others; extra input columns are ignored.
+language; repeated rows and null ids are scored like others; texts of any length are read whole; extra input columns
+of any name are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from rillview.llm.common import chunks, fold
 
 DIM = 4096
 UND = "und"
+#: Letters, and numbers such as fractions, which has_letter() tells apart.
 LETTER = re.compile(r"[^\W\d_]")
 # Families of languages by ISO 639-1 code; a language that is not listed forms a family of its own.
 FAMILIES = {
@@ -41,6 +43,10 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def trigram_slots(text: str) -> np.ndarray:
     """The slot of each byte trigram of the text, a space added at both ends."""
     b = np.frombuffer((" " + text.lower() + " ").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
@@ -91,7 +97,7 @@ class Model:
                 self.pairs[a, b] = linear_svm(x[both], np.where(y[both] == a, 1.0, -1.0))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.names or not LETTER.search(text):
+        if not text or not self.names or not has_letter(text):
             return UND, 0.0
         x = np.append(features(text), 1.0)
         sure, family = 1.0, self.names[0]
