@@ -165,7 +165,8 @@ def repeated_spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     whole = again.join(firsts, ["anchor", "context"]).filter(~(F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("place") == F.col("f_place"))))
     whole = whole.select("doc_id", "place", F.floor(F.col("size") / PACK).cast("int").alias("count"))
     # 3. first runs of anchors with several contexts
-    several = classes.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    # written first, so that adaptive execution can split the join where an anchor has many classes
+    several = stored(classes.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     needed = classes.join(several, "anchor").select(F.col("first.doc_id").alias("n_id"), F.col("first.place").alias("place"), F.floor(F.col("first.size") / PACK).cast("int").alias("own"), "anchor", (F.col("kinds") > crowd).alias("crowded"))
     needed = needed.withColumn("bits", F.expr(f"place & {(1 << TEXT_BITS) - 1}"))
     needed = needed.groupBy("n_id", "bits").agg(F.collect_list(F.struct("place", "own", "anchor", "crowded")).alias("needs"))
