@@ -267,3 +267,28 @@ def test_licenses(spark, none):
     got = sorted(tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).fillna("-").collect())
     assert got == [(1, "MIT", 1.0, "MIT"), (1, "all-rights-reserved", 1.0, "all-rights-reserved"), (2, "MIT", 1.0, "MIT"), (3, "-", 0.0, ""), (4, "-", 0.0, ""), (5, "-", 0.0, "")]
     assert licenses.scan(none).count() == 0
+
+
+def test_licences_found_ties_and_repeated_rows(spark):
+    of = {}
+    for name, text in licenses.TEMPLATES:
+        of.setdefault(name, []).append(text)
+    zlib_notice, bsd = of["Zlib"][0], max(of["BSD-3-Clause"], key=len)
+    long = passage(3000) + "\n\n" + zlib_notice + "\n\n" + passage(3000)
+    rows = [(1, long, 0.1, "n"), (2, "All rights reserved. " + of["MIT"][0], 0.1, "n"), (3, bsd, 0.1, "n"), (3, bsd, 0.1, "n"), (None, of["CC0-1.0"][0], None, None)]
+    got = sorted((tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, dice double, name string")).collect()), key=str)
+    assert [r[1] for r in got if r[0] == 1] == ["Zlib"] and [r[1] for r in got if r[0] is None] == ["CC0-1.0"]
+    threes = [r for r in got if r[0] == 3]
+    assert len(threes) == 2 and threes[0] == threes[1] and threes[0][1:3] == ("BSD-3-Clause", 1.0)
+    # a tie goes to the licence whose name comes first
+    tied = licenses.scan(spark.createDataFrame([(1, "one two three")], "doc_id long, text string"), 0.8, [("b", "one two three"), ("a", "one two three")]).first()
+    assert (tied["license"], tied["licenses"]) == ("a", "a,b")
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    """Each row gets its result, the same for repeated rows, whatever else the table holds."""
+    text = passage(50)
+    docs = spark.createDataFrame([(1, text, "en", "x", 0.5, 3, "w")] * 3 + [(2, passage(40), "de", None, None, None, None)], SCHEMA)
+    for rows in (toxicity.toxic_spans(docs, docs.selectExpr("doc_id", "1 AS toxic", "1 AS quality")), quality.quality_scores(docs, docs.selectExpr("doc_id", "1 AS quality", "1 AS toxic")), language.detect_languages(docs), language_model.log_likelihoods(docs), tokenize.encode_documents(docs), suffixes.remove_repeats(docs)):
+        got = [tuple(map(str, r)) for r in rows.collect()]
+        assert len(got) == 4 and len({r for r in got if r[0] == "1"}) == 1
