@@ -156,16 +156,17 @@ def repeated_spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stored(docs.mapInArrow(_anchor_rows, f"doc_id {kind}, place bigint, size int, anchor bigint, context bigint"))
-    often = rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # written first, as the counts below: adaptive execution can then split the join where an anchor has many rows
+    often = stored(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     again = stored(rows.join(often, "anchor", "left_semi").select(*rows.columns))
     discard(rows)
+    discard(often)
     classes = stored(again.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "place", "size")).alias("first"), F.count("*").alias("n")))
     # 2. runs whose context stands earlier
     firsts = classes.filter("n > 1").select("anchor", "context", F.col("first.doc_id").alias("f_id"), F.col("first.place").alias("f_place"))
     whole = again.join(firsts, ["anchor", "context"]).filter(~(F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("place") == F.col("f_place"))))
     whole = whole.select("doc_id", "place", F.floor(F.col("size") / PACK).cast("int").alias("count"))
     # 3. first runs of anchors with several contexts
-    # written first, so that adaptive execution can split the join where an anchor has many classes
     several = stored(classes.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     needed = classes.join(several, "anchor").select(F.col("first.doc_id").alias("n_id"), F.col("first.place").alias("place"), F.floor(F.col("first.size") / PACK).cast("int").alias("own"), "anchor", (F.col("kinds") > crowd).alias("crowded"))
     needed = needed.withColumn("bits", F.expr(f"place & {(1 << TEXT_BITS) - 1}"))
