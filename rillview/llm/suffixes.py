@@ -33,8 +33,8 @@ from rillview.llm.common import chunks, discard, stored
 
 LENGTH, GRAM = 100, 24
 CROWD = 2000
-#: A place holds the start and, below it, these many bits of the text's hash, which tell rows of one id apart.
-TEXT_BITS = 20
+#: A place holds the start (below 2^31, as texts are) and, below it, these many bits of the text's hash, which tell rows of one id apart.
+TEXT_BITS = 32
 #: A run's length and its anchor's offset are packed.
 PACK = 128
 #: Bytes of contexts that are laid end to end and sorted at once (about 40 times that in memory); a single anchor may need more.
