@@ -123,9 +123,9 @@ def fit(rows: DataFrame, sample_per_lang: int = 300) -> Model:
     """rows: text, lang. The bound is `sample_per_lang` distinct texts of each language, those with the least hashes."""
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    # the least hashes of each language's distinct texts, in two steps so that no language meets in one task whole
-    chosen = hashed.select("lang", "h", F.pmod(F.hash("h"), F.lit(256)).alias("salt")).distinct()
-    for keys in (["lang", "salt"], ["lang"]):
+    # the least hashes of each language's distinct texts, in steps so that no task has more than a 256th of a language or 16 samples of it
+    chosen = hashed.select("lang", "h", F.pmod(F.hash("h"), F.lit(256)).alias("salt")).withColumn("few", F.pmod("salt", F.lit(16))).distinct()
+    for keys in (["lang", "salt"], ["lang", "few"], ["lang"]):
         chosen = chosen.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(F.col("nth") <= sample_per_lang).drop("nth")
     drawn = hashed.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
 
