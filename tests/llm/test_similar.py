@@ -66,9 +66,9 @@ def test_all_pairs(spark):
     kept = [r["doc_id"] for r in simhash.one_of_each(docs, 5, 0.8).collect()]
     assert None in kept and sorted(i for i in kept if i is not None) == want
     hashes = dict(spark.createDataFrame(enumerate(t for _, t in rows), "i long, text string").selectExpr("i", "xxhash64(text)").collect())
-    for crowd_size in (1, 1000):
+    for crowd_size, block in ((1, 4096), (1000, 4096), (1, 7)):
         of = {}
-        for r in simhash.components(similar.similar_links(docs, crowd=crowd_size)).collect():
+        for r in simhash.components(similar.similar_links(docs, crowd=crowd_size, block=block)).collect():
             of[r["node"]] = r["root"]
         roots = [of.get(hashes[i], hashes[i]) for i in range(len(rows))]
         assert len(set(zip(roots, group, strict=True))) == len(set(group)) == len(set(roots))
