@@ -22,6 +22,7 @@ from __future__ import annotations
 import copy
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,10 @@ LANES, STEPS = 1024, 32
 SLICES = ((1 / 32, 64), (3 / 32, 256), (7 / 8, 1024))
 #: Parameters that are averaged at once.
 BLOCK = 4096
+#: States whose logits are laid out at once, so that they stay in the processor's cache.
+ROWS = 512
+#: Logits within this bound need no maximum subtracted before their exponentials are summed, in single precision either.
+SMALL = 40
 END_HASH = 0x7265_6375_7272_656E  # stands for the end token
 
 
@@ -44,10 +49,20 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def _log_sum(a: np.ndarray) -> np.ndarray:
-    """log(exp(a).sum(1)), for large a too."""
-    top = a.max(1)
-    return top + np.log(np.exp(a - top[:, None]).sum(1))
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """States with a last component of 1, which the biases are multiplied with."""
+    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    return out
+
+
+def _exp(a: np.ndarray, target: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp(a) (in place), the targets' logits and the rows' sums; unless logits are small, all less each row's maximum."""
+    if not small:
+        a -= a.max(1, keepdims=True)
+    own = a[np.arange(len(a)), target]
+    np.exp(a, out=a)
+    return a, own, a @ np.ones(a.shape[1], a.dtype)
 
 
 class Gru:
@@ -67,23 +82,42 @@ class Gru:
         """The next state, and what backpropagation needs."""
         k = self.h
         hu = h @ self.p["u"]
-        gates = 1 / (1 + np.exp(-(x[:, : 2 * k] + hu[:, : 2 * k])))
+        gates = x[:, : 2 * k] + hu[:, : 2 * k]
+        np.exp(np.negative(gates, out=gates), out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         r, z = gates[:, :k], gates[:, k:]
-        n = np.tanh(x[:, 2 * k :] + r * hu[:, 2 * k :])
+        n = r * hu[:, 2 * k :]
+        n += x[:, 2 * k :]
+        np.tanh(n, out=n)
         return n + z * (h - n), r, z, n, hu[:, 2 * k :]
 
-    def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the targets' probabilities."""
-        cls = target // self.per
-        a = h @ self.p["c"] + self.p["cb"]
-        out = np.take_along_axis(a, cls[:, None], 1)[:, 0] - _log_sum(a)
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
+    def output(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Weights of the classes and of the words of each class, biases as their last rows; whether every logit is small (components of a state are within 1)."""
+        c, w = np.vstack([self.p["c"], self.p["cb"]]), np.concatenate([self.p["w"], self.p["wb"][:, None]], 1)
+        return c, w, max(np.abs(c).sum(0).max(), np.abs(w).sum(1).max()) < SMALL
+
+    def _blocks(self, cls: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(class, first, end) of runs of one class, of ROWS at most, in sorted classes."""
+        edges = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
         for c in range(self.classes):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                a = h[rows] @ self.p["w"][c] + self.p["wb"][c]
-                out[rows] += a[np.arange(len(rows)), target[rows] - c * self.per] - _log_sum(a)
+            for at in range(edges[c], edges[c + 1], ROWS):
+                yield c, at, min(at + ROWS, edges[c + 1])
+
+    def log_probs(self, h: np.ndarray, target: np.ndarray, weights: tuple[np.ndarray, np.ndarray, bool] | None = None) -> np.ndarray:
+        """Natural logarithms of the targets' probabilities; weights: what output() gives."""
+        of_class, of_word, small = weights or self.output()
+        order = np.argsort(target // self.per, kind="stable")
+        h, (cls, place) = _with_one(h[order]), np.divmod(target[order], self.per)
+        got = np.empty(len(h), h.dtype)
+        for at in range(0, len(h), ROWS):
+            _, own, total = _exp(h[at : at + ROWS] @ of_class, cls[at : at + ROWS], small)
+            got[at : at + ROWS] = own - np.log(total)
+        for c, at, end in self._blocks(cls):
+            _, own, total = _exp(h[at:end] @ of_word[c], place[at:end], small)
+            got[at:end] += own - np.log(total)
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def read(self, stream: np.ndarray, lanes: int = 256, steps: int = 16) -> None:
@@ -107,87 +141,112 @@ class Gru:
         for key, v in g.items():
             at = words if key == "x" else slice(None)
             v /= (len(grid) * (grid.shape[1] - 1)) ** 0.5
-            self.squares[key][at] += v * v
-            self.p[key][at] -= np.float32(rate) * np.clip(v, -1, 1) / np.sqrt(self.squares[key][at])
+            squares = self.squares[key][at]
+            squares += v * v
+            self.squares[key][at] = squares
+            np.clip(v, -1, 1, out=v)
+            v *= np.float32(rate)
+            v /= np.sqrt(squares)
+            self.p[key][at] -= v
         return h
 
     def gradients(self, grid: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """Of the negative log-likelihood (of x: only the rows of these words), and the state behind the window."""
-        lanes, steps = len(grid), grid.shape[1] - 1
-        kept, states = [], []
+        lanes, steps, k = len(grid), grid.shape[1] - 1, self.h
+        hs, befores, kept = np.empty((steps, lanes, k), h.dtype), np.empty((steps, lanes, k), h.dtype), []
         for t in range(steps):
-            now = grid[:, t]
-            before = np.where((now == END)[:, None], 0, h).astype(h.dtype)  # a new text begins
-            h, *rest = self.step(self.p["x"][now], before)
-            kept.append((now, before, *rest))
-            states.append(h)
-        hs, target = np.concatenate(states), grid[:, 1:].T.reshape(-1)
-        g = {key: np.zeros_like(v) for key, v in self.p.items() if key != "x"}
-        dh_all = self._output_gradient(hs, target, g)
-        dh, dx = np.zeros_like(h), [None] * steps
+            before = befores[t]
+            before[:] = h
+            before[grid[:, t] == END] = 0  # a new text begins
+            h, *rest = self.step(self.p["x"][grid[:, t]], before)
+            hs[t] = h
+            kept.append(rest)
+        g = {key: np.zeros_like(v) for key, v in self.p.items() if key not in "xu"}
+        dh_all = self._output_gradient(hs.reshape(-1, k), grid[:, 1:].T.reshape(-1), g).reshape(steps, lanes, k)
+        dh, du, dx = np.zeros_like(h), np.empty((steps, lanes, 3 * k), h.dtype), np.empty((steps, lanes, 3 * k), h.dtype)
+        back = np.ascontiguousarray(self.p["u"].T)
         for t in reversed(range(steps)):
-            now, before, r, z, n, hun = kept[t]
-            dh = dh + dh_all[t * lanes : (t + 1) * lanes]
-            dn, dz = dh * (1 - z) * (1 - n * n), dh * (before - n) * z * (1 - z)
-            dr = dn * hun * r * (1 - r)
-            du = np.hstack([dr, dz, dn * r])
-            dx[t] = np.hstack([dr, dz, dn])
-            g["u"] += before.T @ du
-            dh = np.where((now == END)[:, None], 0, dh * z + du @ self.p["u"].T)
+            r, z, n, hun = kept[t]
+            dh = dh + dh_all[t]
+            dhz = dh * z
+            dn = (dh - dhz) * (1 - n * n)
+            dx[t, :, 2 * k :] = dn
+            dn *= r
+            du[t, :, 2 * k :] = dn
+            dx[t, :, :k] = dn * hun * (1 - r)
+            dx[t, :, k : 2 * k] = dhz * (befores[t] - n) * (1 - z)
+            du[t, :, : 2 * k] = dx[t, :, : 2 * k]
+            dh = du[t] @ back
+            dh += dhz
+            dh[grid[:, t] == END] = 0
+        g["u"] = befores.reshape(-1, k).T @ du.reshape(-1, 3 * k)
         # of x only the rows of the window's words change
-        words, place = np.unique(grid[:, :-1].T.reshape(-1), return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        g["x"] = np.add.reduceat(np.concatenate(dx)[order], np.searchsorted(place[order], np.arange(len(words))), axis=0).astype(h.dtype)
-        return g, words, h
+        words = grid[:, :-1].T.reshape(-1)
+        order = np.argsort(words)
+        words = words[order]
+        first = np.flatnonzero(np.diff(words, prepend=-1))
+        g["x"] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], first, axis=0)
+        return g, words[first], h
 
     def _output_gradient(self, h: np.ndarray, target: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
-        cls = target // self.per
-        a = h @ self.p["c"] + self.p["cb"]
-        p = np.exp(a - a.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(p)), cls] -= 1
-        g["c"] += h.T @ p
-        g["cb"] += p.sum(0)
-        dh = p @ self.p["c"].T
-        for c in np.unique(cls):
-            rows = np.flatnonzero(cls == c)
-            a = h[rows] @ self.p["w"][c] + self.p["wb"][c]
-            q = np.exp(a - a.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(len(rows)), target[rows] - c * self.per] -= 1
-            g["w"][c] += h[rows].T @ q
-            g["wb"][c] += q.sum(0)
-            dh[rows] += q @ self.p["w"][c].T
-        return dh
+        of_class, of_word, small = self.output()
+        order = np.argsort(target // self.per, kind="stable")
+        h, (cls, place) = _with_one(h[order]), np.divmod(target[order], self.per)
+        dh = np.empty((len(h), self.h), h.dtype)
+
+        def block(at: int, end: int, weights: np.ndarray, back: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Gradients of weights and states; the rows' sums divide the narrow factors, not the exponentials."""
+            e, _, total = _exp(h[at:end] @ weights, own[at:end], small)
+            e[np.arange(end - at), own[at:end]] -= total
+            total = total[:, None]
+            return (h[at:end] / total).T @ e, (e @ back) / total
+
+        back = np.ascontiguousarray(of_class[:-1].T)
+        for at in range(0, len(h), ROWS):
+            end = min(at + ROWS, len(h))
+            dw, dh[at:end] = block(at, end, of_class, back, cls)
+            g["c"] += dw[:-1]
+            g["cb"] += dw[-1]
+        for c, at, end in self._blocks(cls):
+            dw, more = block(at, end, of_word[c], of_word[c, :-1].T, place)
+            g["w"][c] += dw[:-1]
+            g["wb"][c] += dw[-1]
+            dh[at:end] += more
+        out = np.empty_like(dh)
+        out[order] = dh
+        return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """For each text (numbers that end with END) its log10 probability."""
         out = np.zeros(len(texts))
+        weights = self.output()
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        waiting = 0
+        held: list[tuple[np.ndarray, ...]] = []  # states, targets and texts that await their probabilities
+
+        def done() -> None:
+            states, targets, whose = (np.concatenate(part) for part in zip(*held, strict=True))
+            np.add.at(out, whose, self.log_probs(states, targets, weights).astype(np.float64))
+            held.clear()
+
         for first in range(0, len(order), LANES):
-            own = order[first : first + LANES]
+            own = np.array(order[first : first + LANES])
             sizes = np.array([len(texts[i]) for i in own])
+            flat, starts = np.concatenate([texts[i] for i in own]), np.cumsum(sizes) - sizes
             h, was = np.zeros((len(own), self.h), np.float32), np.full(len(own), END)
-            total = np.zeros(len(own))
             for at in range(0, int(sizes[0]), STEPS):
-                lanes = int((sizes > at).sum())  # texts are sorted by length, so the lanes still in use stand first
-                steps = min(STEPS, int(sizes[0]) - at)
-                grid = np.full((lanes, steps), END)
-                for j in range(lanes):
-                    part = texts[own[j]][at : at + steps]
-                    grid[j, : len(part)] = part
-                states = np.empty((steps, lanes, self.h), np.float32)
-                for t in range(steps):
-                    now = int((sizes[:lanes] > at + t).sum())
+                for t in range(at, min(at + STEPS, int(sizes[0]))):
+                    now = int(np.searchsorted(-sizes, -t))  # texts are sorted by length, so the lanes still in use stand first
                     h[:now] = self.step(self.p["x"][was[:now]], h[:now])[0]
-                    states[t] = h[:lanes]
-                    was[:now] = grid[:now, t]
-                valid = (at + np.arange(steps))[:, None] < sizes[None, :lanes]
-                logs = np.zeros((steps, lanes))
-                logs[valid] = self.log_probs(states[valid], grid.T[valid])
-                total[:lanes] += logs.sum(0)
-            out[own] = total / np.log(10)
-        return out
+                    was[:now] = flat[starts[:now] + t]
+                    held.append((h[:now].copy(), was[:now].copy(), own[:now]))
+                    waiting += now
+                if waiting >= LANES * STEPS:
+                    done()
+                    waiting = 0
+        if held:
+            done()
+        return out / np.log(10)
 
 
 class Model:
@@ -202,8 +261,14 @@ class Model:
         self.hashes[END] = END_HASH
         self.hashes[2:] = [_hash(w) for w in common]
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The places of listed tokens, UNKNOWN for all others."""
+        return np.fromiter(map(self.number.get, words, repeat(UNKNOWN)), np.int64, len(words))
+
     def own_numbers(self, text: str | None) -> np.ndarray:
-        return np.array([n if (n := self.number.get(w, 0)) < self.own else UNKNOWN for w in tokens(text)], dtype=np.int64)
+        ids = self.numbers(tokens(text))
+        ids[ids >= self.own] = UNKNOWN
+        return ids
 
 
 def _hash(word: bytes) -> int:
@@ -288,20 +353,19 @@ def log_likelihoods(docs: DataFrame, sample: int = 3000, model_words: int = 4096
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each unlisted token of each text; at the end, rows without id for the listed ones."""
-        number, hashes = shared.value.number, shared.value.hashes
+        m, hashes = shared.value, shared.value.hashes
         sums = np.zeros(len(hashes), np.int64)
         names = ["hash", "doc_id", "bits", "times", "learned", "head"]
         id_type = None
         for batch in chunks(batches, 1):
             id_type = batch.schema.field(0).type
-            rows, bits, hs, times, learned, head = [], [], [], [], [], []
+            rows, bits, hs, times, learned, head, listed = [], [], [], [], [], [], []
             for i, (text, out) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 words = tokens(text)
-                ids = np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
+                ids = m.numbers(words)
                 if not out:
-                    sums += np.bincount(ids, minlength=len(sums))
-                    sums[END] += 1
-                rare = Counter([w for w, n in zip(words, ids.tolist(), strict=True) if not n])
+                    listed.append(ids)
+                rare = Counter(compress(words, (ids == UNKNOWN).tolist()))
                 if rare:
                     own = _text_bits(text)
                     k = len(rare)
@@ -312,6 +376,9 @@ def log_likelihoods(docs: DataFrame, sample: int = 3000, model_words: int = 4096
                     times += t
                     learned += [0] * k if out else t
                     head += [1] + [0] * (k - 1)
+            if listed:
+                sums += np.bincount(np.concatenate(listed), minlength=len(sums))
+                sums[END] += len(listed)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), batch.column(0).take(pa.array(rows, pa.int32())), pa.array(bits, pa.int32()), pa.array(times, pa.int32()), pa.array(learned, pa.int64()), pa.array(head, pa.int32())], names=names)
         seen = np.flatnonzero(sums)
@@ -346,8 +413,7 @@ def log_likelihoods(docs: DataFrame, sample: int = 3000, model_words: int = 4096
             n_tokens, n_known, base, other, n_other, bits = [], [], [], [], [], []
             for t in texts:
                 words = tokens(t)
-                ids = np.fromiter((m.number.get(w, 0) for w in words), np.int32, len(words))
-                ids = np.append(ids, np.int32(END))
+                ids = np.append(m.numbers(words), END)
                 far = ids[ids >= m.own]
                 n_tokens.append(len(ids))
                 n_known.append(int(have[ids].sum()))

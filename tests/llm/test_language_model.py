@@ -78,3 +78,21 @@ def test_gradients_equal_finite_differences():
             down = loss()
             net.p[key][own] += 1e-5
             assert abs((up - down) / 2e-5 - flat[at]) < 1e-4, key
+
+
+def test_scores_of_many_windows_meet_the_output_layer_together():
+    net, rng, sizes = language_model.Gru(5000, per_class=71), np.random.default_rng(6), []
+    texts = [np.append(rng.integers(2, 5000, n), language_model.END) for n in [3000, *[400] * 60]]
+    plain, net.log_probs = net.log_probs, lambda h, *rest: (sizes.append(len(h)), plain(h, *rest))[1]
+    got = net.score(texts)
+    assert sum(sizes) == sum(map(len, texts)) and len(sizes) <= 2
+    assert np.allclose(got, [by_hand(net, t) for t in texts], rtol=1e-4)
+
+
+def test_large_logits_leave_gradients_as_they_are():
+    net, grid = small_net(), np.random.default_rng(7).integers(1, 50, (3, 6))
+    before = net.gradients(grid, np.zeros((3, net.h)))[0]
+    net.p["cb"] += 500.0
+    net.p["wb"] -= 900.0
+    after = net.gradients(grid, np.zeros((3, net.h)))[0]
+    assert all(np.allclose(before[k], after[k], atol=1e-9) for k in before)
