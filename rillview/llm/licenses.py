@@ -2,8 +2,9 @@
 
 A document's units (its whole text, its blocks between blank lines, its lines) become words of A-Z, a-z and 0-9 in lower
 case and sets of two-word grams. A unit is compared only with templates whose gram count leaves a coefficient of
-`threshold` possible: every count a template admits is a row of a small fixed table, so that pruning is an equality join. DataFrame
-functions only.
+`threshold` possible: every count a template admits is a row of a small fixed table, so that pruning is an equality join. As a matching
+unit shares most grams with its template, it holds one of a few words of the templates (`telling_words`); texts and units without any of
+these are not cut into grams. That leaves out no match. DataFrame functions only.
 
 Defined cases: null and empty texts, and units of fewer than two words, match nothing (license null, dice 0, licenses '');
 ties go to the licence whose name comes first; repeated rows give a row each; null ids are kept; extra columns are ignored.
@@ -13,6 +14,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +69,33 @@ def template_sizes(threshold: float, templates: list[tuple[str, str]]) -> list[t
     return out
 
 
+def telling_words(threshold: float, templates: list[tuple[str, str]]) -> list[str]:
+    """Words of which every unit that matches a template holds one at least, longer ones first.
+
+    A unit without them lacks all the template's grams in which they occur: they are taken until the grams left are too few for the threshold."""
+    left = []
+    for _, text in templates:
+        sizes = [(a, own) for a, _, own in template_sizes(threshold, [("", text)])]
+        if sizes:
+            own = sizes[0][1]
+            least = min(next(n for n in range(a + len(own) + 1) if 2.0 * n / (a + len(own)) >= threshold) for a, _ in sizes)
+            left.append((set(own), len(own) - least + 1))  # its grams, and how many of them must go
+    chosen = []
+    while left:
+        words = sorted({w for grams, _ in left for gram in grams for w in gram.split()})
+        best = max(words, key=lambda w: (len(w) > 5 or 0.01) * sum(min(n, sum(w in gram for gram in grams)) for grams, n in left))
+        chosen.append(best)
+        rest = [({gram for gram in grams if best not in gram}, grams, n) for grams, n in left]
+        left = [(kept, n - len(grams) + len(kept)) for kept, grams, n in rest if n > len(grams) - len(kept)]
+    return chosen
+
+
+def _holds_one(text: Column, words: list[str]) -> Column:
+    """Whether the text holds one of the words, within longer ones too."""
+    # the lambda's variable lower-cases once
+    return F.exists(F.array(F.lower(text)), lambda t: reduce(or_, [t.contains(w) for w in words], F.lit(False)))
+
+
 def _grams(words: Column) -> Column:
     pairs = F.expr("transform(array(w), v -> CASE WHEN size(v) > 1 THEN transform(sequence(0, size(v) - 2), i -> concat(v[i], ' ', v[i + 1])) ELSE CAST(array() AS array<string>) END)[0]")
     return F.array_distinct(pairs)
@@ -74,12 +104,13 @@ def _grams(words: Column) -> Column:
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, license (the best match), dice, licenses (all that match, sorted, comma-joined) for every row of docs."""
     spark: SparkSession = docs.sparkSession
-    sizes = template_sizes(threshold, TEMPLATES if templates is None else templates)
+    templates = TEMPLATES if templates is None else templates
+    sizes, words = template_sizes(threshold, templates), telling_words(threshold, templates)
     admitted = spark.createDataFrame(sizes, "n int, name string, grams array<string>")  # a few hundred rows, whatever the corpus
     most = max([a for a, _, _ in sizes], default=0)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     text = F.coalesce("text", F.lit(""))
-    units = docs.select("doc_id", "h", F.explode(F.array_distinct(F.concat(F.array(text), F.split(text, r"\n[ \t\r]*\n"), F.split(text, "\n")))).alias("unit"))
+    units = docs.filter(_holds_one(text, words)).select("doc_id", "h", F.explode(F.array_distinct(F.concat(F.array(text), F.split(text, r"\n[ \t\r]*\n"), F.split(text, "\n")))).alias("unit")).filter(_holds_one(F.col("unit"), words))
     # a unit of n grams has more than n words; one with too many words may still repeat them, so only its distinct grams count
     listed = units.select("doc_id", "h", F.transform(F.regexp_extract_all("unit", F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower).alias("w")).filter(F.size("w") > 1)
     grams = listed.select("doc_id", "h", _grams(F.col("w")).alias("own")).filter(F.size("own") <= most)

@@ -285,6 +285,33 @@ def test_licences_found_ties_and_repeated_rows(spark):
     assert (tied["license"], tied["licenses"]) == ("a", "a,b")
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.55, 0.8, 1.0])
+def test_units_that_match_a_license_hold_a_telling_word(threshold):
+    rng = random.Random(5)
+    words = licenses.telling_words(threshold, licenses.TEMPLATES)
+    matched = 0
+    for _, text in licenses.TEMPLATES:
+        own = set(licenses.bigrams(text))
+        for _ in range(40):
+            w, bad = re.findall("[A-Za-z0-9]+", text), set(rng.sample(words, rng.randrange(len(words) + 1)))
+            share = rng.random() * 0.4
+            unit = " ".join("zzz" if rng.random() < share or any(x in v.lower() for x in bad) else v for v in w)
+            grams = set(licenses.bigrams(unit))
+            if grams and 2 * len(grams & own) / (len(grams) + len(own)) >= threshold:
+                matched += 1
+                assert any(x in unit.lower() for x in words)
+    assert matched > 20
+
+
+def test_texts_without_telling_words_are_not_cut_into_grams(spark):
+    assert licenses.telling_words(0.8, []) == [] and licenses.telling_words(0.8, [("a", "one two")]) in (["one"], ["two"])
+    docs = spark.createDataFrame([(1, "no words of that kind " * 50), (2, "x\nALL RIGHTS RESERVED"), (3, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()) == [(1, None), (2, "all-rights-reserved"), (3, None)]
+    plan = licenses.scan(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains" in plan.lower()[plan.lower().index("generate") :]
+
+
+
 def test_repeated_rows_and_clashing_names(spark):
     """Each row gets its result, the same for repeated rows, whatever else the table holds."""
     text = passage(50)
