@@ -68,6 +68,23 @@ def links(fps: DataFrame) -> DataFrame:
     return verified.select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
 
+def ball_links(fps: DataFrame, radius: int) -> DataFrame:
+    """u > v for distinct fingerprints (column fp) that differ in `radius` bits at most.
+
+    The bits are split into parts of which two such fingerprints differ in one by 2 bits at most, and the balls are those of each part. As not
+    all in such a bucket are linked, each is compared with the bucket's smallest and the one before it: buckets of over three can miss links."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    parts = radius // 3 + 1
+    edges = [64 * i // parts for i in range(parts + 1)]
+    balls = [(i, (1 << b) - (1 << a), flip) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) for flip in (0, *(1 << k for k in range(a, b)))]
+    structs = [F.struct(F.lit(i).alias("part"), F.lit(signed(mask)).cast("long").alias("mask"), F.lit(signed(flip)).cast("long").alias("flip")) for i, mask, flip in balls]
+    emitted = fps.select("fp", F.inline(F.array(*structs))).select("fp", "part", F.expr("(fp & mask) ^ flip").alias("variant"))
+    bucket = Window.partitionBy("part", "variant").orderBy("fp")
+    met = emitted.select("fp", F.first("fp").over(bucket).alias("least"), F.lag("fp").over(bucket).alias("before")).filter("fp <> least")
+    both = met.select(F.col("fp").alias("u"), F.explode(F.array("least", "before")).alias("v"))
+    return both.filter(f"bit_count(u ^ v) <= {int(radius)}").distinct()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (the smallest node of its component) for nodes of edges u > v, by alternating stars."""
     now = stored(edges)

@@ -1,4 +1,7 @@
-"""Groups of texts whose sets of word shingles have a Jaccard similarity of at least `least`, by prefix filtering.
+"""Groups of texts whose sets of word shingles have a Jaccard similarity of at least `least`, by SimHash and prefix filtering.
+
+Texts whose SimHash fingerprints meet in the ball hashing of simhash.py (at most RADIUS bits apart) are pairs, verified by their whole sets.
+As pairs of similarity 0.8 differ in up to 11 bits, which no ball can hold, all others are found by prefix filtering:
 
 Under any fixed order of all shingles, two such sets share one among the first n - ceil(least * n) + 1 of each, so texts are
 compared only where these prefixes meet, and every comparison is of the whole sets: no similar pair is missed, none is guessed. The
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillview.llm.common import chunks, discard, stored
-from rillview.llm.simhash import components, shingle_hashes
+from rillview.llm.simhash import ball_links, components, fingerprint, shingle_hashes
 
 #: The fewest slots; a set of more shingles has the next power of two.
 SLOTS = 2048
@@ -35,6 +38,8 @@ SLOTS = 2048
 BROADCAST = 200_000
 #: Members of one shingle that a task compares at once.
 BLOCK = 4096
+#: Bits in which the fingerprints of a pair differ at most.
+RADIUS = 5
 #: Rows whose shingles are counted to order all shingles, and how many of the most frequent are ordered by their counts.
 SAMPLE, RANKED = 10_000, 200_000
 
@@ -183,6 +188,30 @@ def _ranking(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], ranks[order]
 
 
+def sketched(rows: DataFrame, words: int) -> DataFrame:
+    """node, bits (parities), n (shingles) and fp (fingerprint) of the distinct texts; rows: node, text."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, 1):
+            hashes = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
+            sets = [np.unique(np.array(h or [0], np.uint64)) for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(parities, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(map(fingerprint, hashes), pa.int64())], names=["node", "bits", "n", "fp"])
+
+    return rows.mapInArrow(sketch, "node bigint, bits binary, n int, fp bigint").groupBy("node").agg(*(F.first(c).alias(c) for c in ("bits", "n", "fp")))
+
+
+def near_pairs(sketches: DataFrame, least: float) -> DataFrame:
+    """u > v, n (shingles of both): texts of one fingerprint with the first of these, and the first texts of linked fingerprints, if their sizes fit."""
+    firsts = stored(sketches.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("own")))
+    same = sketches.join(firsts, "fp").filter(F.col("node") != F.col("own.node")).select(F.struct("node", "n").alias("a"), F.col("own").alias("b"))
+    linked = ball_links(firsts.select("fp"), RADIUS)
+    linked = linked.join(firsts.toDF("u", "a"), "u").join(firsts.toDF("v", "b"), "v").select("a", "b")
+    fits = F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n") - 1e-9
+    out = stored(same.unionByName(linked).filter(fits).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"), (F.col("a.n") + F.col("b.n")).alias("n")))
+    discard(firsts)
+    return out
+
+
 def similar_links(docs: DataFrame, words: int = 5, least: float = 0.8, crowd: int = 16, block: int = BLOCK) -> DataFrame:
     """u > v: pairs of hashes of alike texts, whose components are those of all alike pairs. docs: text."""
     spark = docs.sparkSession
@@ -197,6 +226,8 @@ def similar_links(docs: DataFrame, words: int = 5, least: float = 0.8, crowd: in
             node = np.repeat(batch.column(0).to_numpy(), kept)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(node), pa.array(np.repeat([len(s) for s in sets], kept).astype(np.int32))], names=["token", "node", "n"])
 
+    marks = stored(sketched(rows, words))
+    near = near_pairs(marks, least)
     # counted before the shuffle and written, so that a shingle of very many rows, copies of one text too, needn't meet in one task
     every = stored(rows.mapInArrow(prefixes, "token bigint, node bigint, n int"))
     often = stored(every.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token"))
@@ -209,18 +240,15 @@ def similar_links(docs: DataFrame, words: int = 5, least: float = 0.8, crowd: in
     calm = met.join(sizes.filter(F.col("kinds") <= crowd), "token").select("token", "node", "n")
     other = calm.select("token", F.col("node").alias("v"), F.col("n").alias("m"))
     fits = (F.col("node") > F.col("v")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)
-    pairs = calm.join(other, "token").filter(fits).select(F.col("node").alias("u"), "v", (F.col("n") + F.col("m")).alias("n")).distinct()
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parities(shingle_set(t, words)) for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "bits"])
+    pairs = calm.join(other, "token").filter(fits).select(F.col("node").alias("u"), "v", (F.col("n") + F.col("m")).alias("n"))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 3):
             yes = possible(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(2).to_numpy(), least)
             yield batch.select(["u", "v"]).filter(pa.array(yes))
 
-    sketches = stored(rows.mapInArrow(sketch, "node bigint, bits binary").groupBy("node").agg(F.first("bits").alias("bits")))
+    pairs = pairs.unionByName(near).distinct()
+    sketches = marks.select("node", "bits")
     told = pairs.join(sketches.toDF("u", "a"), "u").join(sketches.toDF("v", "b"), "v").select("u", "v", "n", "a", "b")
     pairs = stored(told.mapInArrow(select, "u bigint, v bigint"))
     crowded = stored(met.join(sizes.filter(F.col("kinds") > crowd), "token").select("token", "node", "kinds", "n"))
@@ -297,6 +325,6 @@ def similar_links(docs: DataFrame, words: int = 5, least: float = 0.8, crowd: in
     apart = in_blocks(open_members, block).join(sketches, "node").select("token", "a", "b", "node", "label", "side", "n", "bits")
     apart = stored(together(apart, "token", "a", "b").mapInArrow(of_each(by_parity, 3, 7), "u bigint, v bigint").distinct())
     links = stored(first.unionByName(verified(apart)).distinct())
-    for done in (sizes, pairs, crowded, sketches, texts, most, first, labelled, open_tokens, open_members, apart):
+    for done in (sizes, pairs, near, crowded, marks, texts, most, first, labelled, open_tokens, open_members, apart):
         discard(done)
     return links

@@ -73,3 +73,35 @@ def test_all_pairs(spark):
         roots = [of.get(hashes[i], hashes[i]) for i in range(len(rows))]
         assert len(set(zip(roots, group, strict=True))) == len(set(group)) == len(set(roots))
     assert similar.similar_links(docs.limit(0)).count() == 0
+
+
+def test_ball_links_equal_all_pairs(spark):
+    fps = {RNG.getrandbits(64) for _ in range(60)}
+    for fp in sorted(fps):
+        fps.add(fp ^ sum(1 << b for b in RNG.sample(range(64), RNG.randrange(9))))
+    signed = {fp - (1 << 64) if fp >> 63 else fp: fp for fp in fps}
+    table = spark.createDataFrame([(fp,) for fp in signed], "fp long")
+    for radius in (2, 5):
+        want = {(u, v) for u in signed for v in signed if u > v and (signed[u] ^ signed[v]).bit_count() <= radius}
+        assert len(want) > 10 and set(map(tuple, simhash.ball_links(table, radius).collect())) == want
+
+
+def test_fingerprints_give_pairs(spark, monkeypatch):
+    """The stage takes pairs from ball hashing; those beyond its radius are found as well."""
+    texts, given = [], []
+    for _ in range(40):
+        own = passage(300)
+        texts += [" ".join(own), " ".join(changed(own, 1))]
+    texts += [texts[0].upper(), texts[0] + " "]
+    plain = similar.near_pairs
+
+    def seen(*args):
+        out = plain(*args)
+        given.extend((r["u"], r["v"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(similar, "near_pairs", seen)
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == list(range(0, 80, 2))
+    fp = {r["node"]: r["fp"] for r in similar.sketched(docs.selectExpr("xxhash64(text) AS node", "text"), 5).collect()}
+    assert 10 < len(given) and all(u > v and ((fp[u] ^ fp[v]) & (1 << 64) - 1).bit_count() <= similar.RADIUS for u, v in given)
