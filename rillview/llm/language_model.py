@@ -1,9 +1,11 @@
 """Document log-likelihood under a gated recurrent language model in numpy.
 
-A gated recurrent unit reads a text's tokens; its state predicts the next token's class, then the token within the class
-(classes of equal size by frequency). It learns by truncated backpropagation from all learning rows, each token once: the rows are
-dealt by hash to slices (`SLICES`); for each slice in turn every partition goes on from the model over all its rows, and the model
-becomes the mean of the results, weighted by tokens. Nothing is fitted on the driver. When texts are scored, the state is
+A gated recurrent unit reads a text's tokens; its state predicts the group of the next token's class, then the class, then the
+token within it (classes of equal size by frequency, groups of neighbouring classes). It learns by truncated backpropagation from all learning rows, each token once: the rows are
+dealt by hash to slices (`SLICES`); for each slice in turn every task goes on from the model over all its rows, and the model
+becomes the mean of the results, weighted by tokens (tasks send what they changed, in half precision). Partitions are put together
+to one task for `WORDS_A_MODEL` words, or `MODELS` tasks, if they are more: a model grows by the root of the rows, and so does
+the number of models, so what they exchange grows in proportion to the rows. Nothing is fitted on the driver. When texts are scored, the state is
 carried from window to window through each whole text, however long.
 
 The model's words are the most frequent of all learning rows: `model_words` up to `sample` rows, and by the root of the rows' number more
@@ -20,12 +22,11 @@ columns are ignored.
 from __future__ import annotations
 
 import copy
-from collections import Counter
 from collections.abc import Iterator
-from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,17 +37,33 @@ UNKNOWN, END = 0, 1
 LANES, STEPS = 1024, 32
 #: Shares of the learning rows that are read between two means, and how many lanes read them: small windows first.
 SLICES = ((1 / 32, 64), (3 / 32, 256), (7 / 8, 1024))
+#: Bytes of tokens that a task holds until it counts them.
+HELD_BYTES = 32 << 20
+#: Bytes of text that a task scores at once: the more texts, the fewer steps that only the longest of them take.
+SCORED_BYTES = 32 << 20
+#: States that await their probabilities together.
+HELD_STATES = 1 << 17
+#: Models that are averaged: one for so many words, so that what they exchange grows with the rows, as words grow by the root.
+WORDS_A_MODEL, MODELS = 1500, 12
 #: Parameters that are averaged at once.
 BLOCK = 4096
-#: States whose logits are laid out at once, so that they stay in the processor's cache.
-ROWS = 512
+#: Logits that are laid out at once, so that they stay in the processor's cache.
+CELLS = 1 << 16
+INDEX = np.arange(CELLS)
 #: Logits within this bound need no maximum subtracted before their exponentials are summed, in single precision either.
 SMALL = 40
 END_HASH = 0x7265_6375_7272_656E  # stands for the end token
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all texts, one after the other, and where each text's begin and the last one's end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    edges, flat = lists.offsets.to_numpy(), lists.flatten()
+    edges = edges - edges[0]
+    full = pc.greater(pc.binary_length(flat), 0)  # whitespace around a text leaves empty strings
+    if not pc.all(full).as_py():
+        edges, flat = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))[edges], flat.filter(full)
+    return flat, edges
 
 
 def _with_one(h: np.ndarray) -> np.ndarray:
@@ -60,28 +77,45 @@ def _exp(a: np.ndarray, target: np.ndarray, small: bool) -> tuple[np.ndarray, np
     """exp(a) (in place), the targets' logits and the rows' sums; unless logits are small, all less each row's maximum."""
     if not small:
         a -= a.max(1, keepdims=True)
-    own = a[np.arange(len(a)), target]
+    own = a[INDEX[: len(a)], target]
     np.exp(a, out=a)
     return a, own, a @ np.ones(a.shape[1], a.dtype)
 
 
+def _order(numbers: np.ndarray, below: int) -> np.ndarray:
+    """The stable order of numbers below a bound; those of 16 bits are sorted by their digits."""
+    return np.argsort(numbers.astype(np.uint16) if below <= 1 << 16 else numbers, kind="stable")
+
+
 class Gru:
-    def __init__(self, words: int, hidden: int = 16, per_class: int = 64, seed: int = 3):
+    def __init__(self, words: int, hidden: int = 16, per_class: int = 64, seed: int = 3, per_group: int = 0, width: int = 0):
+        """per_group: classes of a group, which is predicted before the class (0: no groups); width: of a word's vector, which `v` and `b` turn into the gates' inputs (0: the word has these itself)."""
         rng = np.random.default_rng(seed)
         self.squares: dict[str, np.ndarray] = {}
-        self.h, self.per = hidden, per_class
+        self.h, self.per, self.per_group = hidden, per_class, per_group
         self.classes = -(-words // per_class)
         n = self.classes * per_class
         r = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        self.p = {"x": r(n, 3 * hidden), "u": r(hidden, 3 * hidden), "c": r(hidden, self.classes), "cb": np.zeros(self.classes, np.float32), "w": r(self.classes, hidden, per_class), "wb": np.zeros((self.classes, per_class), np.float32)}
+        o = lambda *s: np.zeros(s, np.float32)
+        self.p = {"x": r(n, width or 3 * hidden), "u": r(hidden, 3 * hidden), "c": r(hidden, self.classes), "cb": o(self.classes), "w": r(self.classes, hidden, per_class), "wb": o(self.classes, per_class)}
         left = n - words  # the last class is filled up with words that never come
         if left:
             self.p["wb"][-1, per_class - left :] = -30
+        if width:
+            self.p |= {"v": r(width, 3 * hidden) * np.float32(10 / width**0.5), "b": o(3 * hidden)}
+        if per_group:
+            groups = -(-self.classes // per_group)
+            self.p |= {"g": r(hidden, groups), "gb": o(groups), "c": r(groups, hidden, per_group), "cb": o(groups, per_group)}
+            self.p["cb"].reshape(-1)[self.classes :] = -30  # as above
+
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        """What the gates get from words of these rows of `x`."""
+        return (self.p["v"].T @ x.T + self.p["b"][:, None]).T if "v" in self.p else x
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The next state, and what backpropagation needs."""
+        """The next state, and what backpropagation needs. All are laid out column by column, so that the parts of the gates are contiguous."""
         k = self.h
-        hu = h @ self.p["u"]
+        hu = (self.p["u"].T @ h.T).T
         gates = x[:, : 2 * k] + hu[:, : 2 * k]
         np.exp(np.negative(gates, out=gates), out=gates)
         gates += 1
@@ -92,30 +126,43 @@ class Gru:
         np.tanh(n, out=n)
         return n + z * (h - n), r, z, n, hu[:, 2 * k :]
 
-    def output(self) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Weights of the classes and of the words of each class, biases as their last rows; whether every logit is small (components of a state are within 1)."""
-        c, w = np.vstack([self.p["c"], self.p["cb"]]), np.concatenate([self.p["w"], self.p["wb"][:, None]], 1)
-        return c, w, max(np.abs(c).sum(0).max(), np.abs(w).sum(1).max()) < SMALL
-
-    def _blocks(self, cls: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(class, first, end) of runs of one class, of ROWS at most, in sorted classes."""
-        edges = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
-        for c in range(self.classes):
-            for at in range(edges[c], edges[c + 1], ROWS):
-                yield c, at, min(at + ROWS, edges[c + 1])
-
-    def log_probs(self, h: np.ndarray, target: np.ndarray, weights: tuple[np.ndarray, np.ndarray, bool] | None = None) -> np.ndarray:
+    def output(self) -> tuple[list[np.ndarray], bool]:
+        """For each level, from the top, the weights of each node's children, biases as their last rows; whether every logit is small (components of a state are within 1)."""
+        out = []
+        for key in "gcw":
+            if key in self.p:
+                w, bias = self.p[key], self.p[key + "b"]
+                out.append(np.concatenate([w, bias[:, None]], 1) if w.ndim == 3 else np.vstack([w, bias])[None])
+        return out, max(np.abs(w).sum(1).max() for w in out) < SMALL
+
+    def _levels(self, target: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
+        """(key, node, child) of each level, from the top, for words sorted by class."""
+        cls, place = np.divmod(target, self.per)
+        out, above = [("w", cls, place)], "c"
+        if self.per_group:
+            group, own = np.divmod(cls, self.per_group)
+            out, above, cls = [("c", group, own), *out], "g", group
+        return [(above, np.zeros_like(cls), cls), *out]
+
+    @staticmethod
+    def _blocks(node: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(node, first, end) of runs of one node, of CELLS logits at most, in sorted nodes."""
+        edges, rows = np.searchsorted(node, np.arange(len(w) + 1)).tolist(), -(-CELLS // w.shape[2])
+        for c in range(len(w)):
+            for at in range(edges[c], edges[c + 1], rows):
+                yield c, at, min(at + rows, edges[c + 1])
+
+    def log_probs(self, h: np.ndarray, target: np.ndarray, weights: tuple[list[np.ndarray], bool] | None = None) -> np.ndarray:
         """Natural logarithms of the targets' probabilities; weights: what output() gives."""
-        of_class, of_word, small = weights or self.output()
-        order = np.argsort(target // self.per, kind="stable")
-        h, (cls, place) = _with_one(h[order]), np.divmod(target[order], self.per)
-        got = np.empty(len(h), h.dtype)
-        for at in range(0, len(h), ROWS):
-            _, own, total = _exp(h[at : at + ROWS] @ of_class, cls[at : at + ROWS], small)
-            got[at : at + ROWS] = own - np.log(total)
-        for c, at, end in self._blocks(cls):
-            _, own, total = _exp(h[at:end] @ of_word[c], place[at:end], small)
-            got[at:end] += own - np.log(total)
+        levels, small = weights or self.output()
+        order = _order(target // self.per, self.classes)
+        h, got = _with_one(h.take(order, axis=0)), np.zeros(len(h), h.dtype)
+        sums = np.empty_like(got)
+        for w, (_, node, child) in zip(levels, self._levels(target[order]), strict=True):
+            for c, at, end in self._blocks(node, w):
+                _, own, sums[at:end] = _exp(h[at:end] @ w[c], child[at:end], small)
+                got[at:end] += own
+            got -= np.log(sums)
         out = np.empty_like(got)
         out[order] = got
         return out
@@ -143,7 +190,8 @@ class Gru:
             v /= (len(grid) * (grid.shape[1] - 1)) ** 0.5
             squares = self.squares[key][at]
             squares += v * v
-            self.squares[key][at] = squares
+            if key == "x":
+                self.squares[key][at] = squares
             np.clip(v, -1, 1, out=v)
             v *= np.float32(rate)
             v /= np.sqrt(squares)
@@ -152,66 +200,63 @@ class Gru:
 
     def gradients(self, grid: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """Of the negative log-likelihood (of x: only the rows of these words), and the state behind the window."""
-        lanes, steps, k = len(grid), grid.shape[1] - 1, self.h
-        hs, befores, kept = np.empty((steps, lanes, k), h.dtype), np.empty((steps, lanes, k), h.dtype), []
+        lanes, steps, k, narrow = len(grid), grid.shape[1] - 1, self.h, "v" in self.p
+        hs, kept, ends = np.empty((steps, lanes, k), h.dtype), [], grid.T == END
+        words = grid[:, :-1].T.reshape(-1)
+        xs = self.p["x"].take(words, axis=0).reshape(steps, lanes, -1)
         for t in range(steps):
-            before = befores[t]
-            before[:] = h
-            before[grid[:, t] == END] = 0  # a new text begins
-            h, *rest = self.step(self.p["x"][grid[:, t]], before)
+            before = np.array(h.T, order="C")
+            before[:, ends[t]] = 0  # a new text begins
+            h, *rest = self.step(self.inputs(xs[t]), before.T)
             hs[t] = h
-            kept.append(rest)
-        g = {key: np.zeros_like(v) for key, v in self.p.items() if key not in "xu"}
+            kept.append((before, *(v.T for v in rest)))
+        g: dict[str, np.ndarray] = {}
         dh_all = self._output_gradient(hs.reshape(-1, k), grid[:, 1:].T.reshape(-1), g).reshape(steps, lanes, k)
-        dh, du, dx = np.zeros_like(h), np.empty((steps, lanes, 3 * k), h.dtype), np.empty((steps, lanes, 3 * k), h.dtype)
-        back = np.ascontiguousarray(self.p["u"].T)
+        g |= {key: np.zeros_like(self.p[key]) for key in ("u", "v", "b") if key in self.p}
+        dh, dx, du = np.zeros((k, lanes), h.dtype), np.empty((3 * k, lanes), h.dtype), np.empty((3 * k, lanes), h.dtype)
         for t in reversed(range(steps)):
-            r, z, n, hun = kept[t]
-            dh = dh + dh_all[t]
+            before, r, z, n, hun = kept[t]
+            dh += dh_all[t].T
             dhz = dh * z
             dn = (dh - dhz) * (1 - n * n)
-            dx[t, :, 2 * k :] = dn
+            dx[2 * k :] = dn
             dn *= r
-            du[t, :, 2 * k :] = dn
-            dx[t, :, :k] = dn * hun * (1 - r)
-            dx[t, :, k : 2 * k] = dhz * (befores[t] - n) * (1 - z)
-            du[t, :, : 2 * k] = dx[t, :, : 2 * k]
-            dh = du[t] @ back
+            du[2 * k :] = dn
+            dx[:k] = dn * hun * (1 - r)
+            dx[k : 2 * k] = dhz * (before - n) * (1 - z)
+            du[: 2 * k] = dx[: 2 * k]
+            dh = self.p["u"] @ du
             dh += dhz
-            dh[grid[:, t] == END] = 0
-        g["u"] = befores.reshape(-1, k).T @ du.reshape(-1, 3 * k)
+            dh[:, ends[t]] = 0
+            g["u"] += before @ du.T
+            if narrow:
+                g["v"] += xs[t].T @ dx.T
+                g["b"] += dx.sum(1)
+            xs[t] = dx.T @ self.p["v"].T if narrow else dx.T  # from here on its gradient
         # of x only the rows of the window's words change
-        words = grid[:, :-1].T.reshape(-1)
-        order = np.argsort(words)
+        order = _order(words, len(self.p["x"]))
         words = words[order]
         first = np.flatnonzero(np.diff(words, prepend=-1))
-        g["x"] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], first, axis=0)
+        g["x"] = np.add.reduceat(xs.reshape(len(order), -1).take(order, axis=0), first, axis=0)
         return g, words[first], h
 
     def _output_gradient(self, h: np.ndarray, target: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
-        of_class, of_word, small = self.output()
-        order = np.argsort(target // self.per, kind="stable")
-        h, (cls, place) = _with_one(h[order]), np.divmod(target[order], self.per)
-        dh = np.empty((len(h), self.h), h.dtype)
-
-        def block(at: int, end: int, weights: np.ndarray, back: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Gradients of weights and states; the rows' sums divide the narrow factors, not the exponentials."""
-            e, _, total = _exp(h[at:end] @ weights, own[at:end], small)
-            e[np.arange(end - at), own[at:end]] -= total
-            total = total[:, None]
-            return (h[at:end] / total).T @ e, (e @ back) / total
-
-        back = np.ascontiguousarray(of_class[:-1].T)
-        for at in range(0, len(h), ROWS):
-            end = min(at + ROWS, len(h))
-            dw, dh[at:end] = block(at, end, of_class, back, cls)
-            g["c"] += dw[:-1]
-            g["cb"] += dw[-1]
-        for c, at, end in self._blocks(cls):
-            dw, more = block(at, end, of_word[c], of_word[c, :-1].T, place)
-            g["w"][c] += dw[:-1]
-            g["wb"][c] += dw[-1]
-            dh[at:end] += more
+        levels, small = self.output()
+        order = _order(target // self.per, self.classes)
+        h, dh = _with_one(h.take(order, axis=0)), np.zeros((len(h), self.h), h.dtype)
+        for w, (key, node, child) in zip(levels, self._levels(target[order]), strict=True):
+            # the rows' sums divide the narrow factors, not the exponentials
+            dw, back = np.zeros_like(w), w[:, :-1].transpose(0, 2, 1)
+            for c, at, end in self._blocks(node, w):
+                own = h[at:end]
+                e, _, total = _exp(own @ w[c], child[at:end], small)
+                e[INDEX[: end - at], child[at:end]] -= total
+                total = total[:, None]
+                dw[c] += (own / total).T @ e
+                more = e @ back[c]
+                more /= total
+                dh[at:end] += more
+            g[key], g[key + "b"] = (dw[:, :-1], dw[:, -1]) if self.p[key].ndim == 3 else (dw[0, :-1], dw[0, -1])
         out = np.empty_like(dh)
         out[order] = dh
         return out
@@ -225,8 +270,9 @@ class Gru:
         held: list[tuple[np.ndarray, ...]] = []  # states, targets and texts that await their probabilities
 
         def done() -> None:
+            nonlocal out
             states, targets, whose = (np.concatenate(part) for part in zip(*held, strict=True))
-            np.add.at(out, whose, self.log_probs(states, targets, weights).astype(np.float64))
+            out += np.bincount(whose, self.log_probs(states, targets, weights), len(out))
             held.clear()
 
         for first in range(0, len(order), LANES):
@@ -234,14 +280,13 @@ class Gru:
             sizes = np.array([len(texts[i]) for i in own])
             flat, starts = np.concatenate([texts[i] for i in own]), np.cumsum(sizes) - sizes
             h, was = np.zeros((len(own), self.h), np.float32), np.full(len(own), END)
-            for at in range(0, int(sizes[0]), STEPS):
-                for t in range(at, min(at + STEPS, int(sizes[0]))):
-                    now = int(np.searchsorted(-sizes, -t))  # texts are sorted by length, so the lanes still in use stand first
-                    h[:now] = self.step(self.p["x"][was[:now]], h[:now])[0]
-                    was[:now] = flat[starts[:now] + t]
-                    held.append((h[:now].copy(), was[:now].copy(), own[:now]))
-                    waiting += now
-                if waiting >= LANES * STEPS:
+            # texts are sorted by length, so the lanes still in use stand first
+            for t, now in enumerate(np.searchsorted(-sizes, -np.arange(sizes[0])).tolist()):
+                h = self.step(self.inputs(self.p["x"].take(was[:now], axis=0)), h[:now])[0]
+                was = flat.take(starts[:now] + t)
+                held.append((h, was, own[:now]))
+                waiting += now
+                if waiting >= HELD_STATES:
                     done()
                     waiting = 0
         if held:
@@ -250,30 +295,30 @@ class Gru:
 
 
 class Model:
-    """number: token -> place among the `listed` tokens (END included); those below `own` are the network's own."""
+    """common: the `listed` tokens; their places begin at 2, behind UNKNOWN and END, and those below `own` are the network's own."""
 
-    def __init__(self, common: list[bytes], model_words: int):
+    def __init__(self, common: pa.Array, model_words: int):
         """common: the most frequent tokens, in order."""
-        self.number = {w: i + 2 for i, w in enumerate(common)}
+        self.common = common
         self.own = min(model_words, len(common) + 2)
-        self.gru = Gru(self.own, per_class=max(64, round(self.own**0.5)))
-        self.hashes = np.zeros(len(common) + 2, np.int64)
-        self.hashes[END] = END_HASH
-        self.hashes[2:] = [_hash(w) for w in common]
+        leaf = max(64, round(self.own**0.44))  # each costs a call, so words of a class are more than classes of a group
+        self.gru = Gru(self.own, per_class=leaf, per_group=max(4, round((self.own / leaf) ** 0.5)), width=16)
+        self.hashes = np.concatenate([np.array([0, END_HASH]), _hashes(common)])
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def numbers(self, words: pa.Array) -> np.ndarray:
         """The places of listed tokens, UNKNOWN for all others."""
-        return np.fromiter(map(self.number.get, words, repeat(UNKNOWN)), np.int64, len(words))
+        return pc.add(pc.fill_null(pc.index_in(words, value_set=self.common), UNKNOWN - 2), 2).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def own_numbers(self, text: str | None) -> np.ndarray:
-        ids = self.numbers(tokens(text))
+    def stream(self, texts: pa.Array) -> np.ndarray:
+        """The network's numbers of all texts, each closed by END."""
+        words, edges = cut(texts)
+        ids = self.numbers(words)
         ids[ids >= self.own] = UNKNOWN
-        return ids
+        return np.insert(ids, edges[1:], END)
 
 
-def _hash(word: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >= 1 << 63 else h
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_pylist()), np.uint64, len(words)).view(np.int64)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -284,30 +329,30 @@ def _text_bits(text: str | None) -> int:
     return xxhash.xxh32_intdigest((text or "").encode("utf-8", "replace")) >> 1
 
 
-def most_frequent(learning: DataFrame, n: int) -> list[bytes]:
+def most_frequent(learning: DataFrame, n: int) -> pa.Array:
     """The n most frequent tokens of all rows, most frequent first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[pa.Array] = []
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
+            values, times = pc.value_counts(pa.chunked_array(held, pa.string())).flatten()
+            held.clear()
+            return pa.RecordBatch.from_arrays([values, times], names=["token", "n"])
 
         for batch in chunks(batches, 0):
-            for t in batch.column(0).to_pylist():
-                held.update(tokens(t))
-            if len(held) > 200_000:
+            held.append(cut(batch.column(0))[0])
+            if sum(words.nbytes for words in held) > HELD_BYTES:
                 yield done()
-                held.clear()
         if held:
             yield done()
 
-    counts = learning.select("text").mapInArrow(count, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    return counts.orderBy(F.desc("n"), "token").limit(n).toArrow().column("token").to_pylist()
+    counts = learning.select("text").mapInArrow(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return counts.orderBy(F.desc("n"), "token").limit(n).toArrow().column("token").combine_chunks().cast(pa.string())
 
 
-def learn_all(model: Model, learning: DataFrame, lanes: int) -> None:
-    """Each partition goes on from the model over all its rows; the model takes the mean of the results, weighted by tokens."""
+def learn_all(model: Model, learning: DataFrame, lanes: int, models: int) -> None:
+    """Each of at most `models` tasks goes on from the model over all its rows; the model takes the mean of the results, weighted by tokens."""
     shared = learning.sparkSession.sparkContext.broadcast(model)
     sizes = {k: v.size for k, v in model.gru.p.items()}
 
@@ -315,24 +360,24 @@ def learn_all(model: Model, learning: DataFrame, lanes: int) -> None:
         m, seen = shared.value, 0
         gru = copy.deepcopy(m.gru)
         for batch in chunks(batches, 0):
-            stream = np.concatenate([np.append(m.own_numbers(t), END) for t in batch.column(0).to_pylist()])
-            gru.read(stream, max(1, min(lanes, len(stream) // 32)))
+            stream = m.stream(batch.column(0))
+            gru.read(stream, max(1, min(lanes, len(stream) // 32)), STEPS if lanes == LANES else STEPS // 2)
             seen += len(stream)
         if seen:
-            flat = np.concatenate([gru.p[k].reshape(-1) for k in sizes])
+            flat = np.concatenate([(gru.p[k] - m.gru.p[k]).reshape(-1) for k in sizes]).astype(np.float16)
             parts = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["block", "n", "v"])
 
     def mean(key: tuple, t: pa.Table) -> pa.Table:
         rows = zip(t.column("n").to_pylist(), t.column("v").to_pylist(), strict=True)
-        total = sum(np.frombuffer(v, np.float32).astype(np.float64) * n for n, v in rows) / sum(t.column("n").to_pylist())
+        total = sum(np.frombuffer(v, np.float16).astype(np.float64) * n for n, v in rows) / sum(t.column("n").to_pylist())
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    got = learning.select("text").mapInArrow(learn, "block int, n bigint, v binary").groupBy("block").applyInArrow(mean, "block int, v binary").collect()
+    got = learning.select("text").coalesce(models).mapInArrow(learn, "block int, n bigint, v binary").groupBy("block").applyInArrow(mean, "block int, v binary").collect()
     if got:
         flat = np.frombuffer(b"".join(bytes(r["v"]) for r in sorted(got, key=lambda r: r["block"])), np.float32).copy()
         for k, v in zip(sizes, np.split(flat, np.cumsum([*sizes.values()])[:-1]), strict=True):
-            model.gru.p[k] = v.reshape(model.gru.p[k].shape)
+            model.gru.p[k] = model.gru.p[k] + v.reshape(model.gru.p[k].shape)
     model.gru.squares = {}
 
 
@@ -347,7 +392,7 @@ def log_likelihoods(docs: DataFrame, sample: int = 3000, model_words: int = 4096
     model = Model(most_frequent(learning, max(listed, own_words) - 2), own_words)
     dealt, low = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / (1 << 20), 0.0
     for share, lanes in SLICES:
-        learn_all(model, learning.filter((dealt >= low) & (dealt < low + share)), lanes)
+        learn_all(model, learning.filter((dealt >= low) & (dealt < low + share)), lanes, max(MODELS, round(own_words / WORDS_A_MODEL)))
         low += share
     shared = spark.sparkContext.broadcast(model)
 
@@ -359,28 +404,19 @@ def log_likelihoods(docs: DataFrame, sample: int = 3000, model_words: int = 4096
         id_type = None
         for batch in chunks(batches, 1):
             id_type = batch.schema.field(0).type
-            rows, bits, hs, times, learned, head, listed = [], [], [], [], [], [], []
-            for i, (text, out) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                words = tokens(text)
-                ids = m.numbers(words)
-                if not out:
-                    listed.append(ids)
-                rare = Counter(compress(words, (ids == UNKNOWN).tolist()))
-                if rare:
-                    own = _text_bits(text)
-                    k = len(rare)
-                    rows += [i] * k
-                    bits += [own] * k
-                    hs += map(_hash, rare)
-                    t = list(rare.values())
-                    times += t
-                    learned += [0] * k if out else t
-                    head += [1] + [0] * (k - 1)
-            if listed:
-                sums += np.bincount(np.concatenate(listed), minlength=len(sums))
-                sums[END] += len(listed)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), batch.column(0).take(pa.array(rows, pa.int32())), pa.array(bits, pa.int32()), pa.array(times, pa.int32()), pa.array(learned, pa.int64()), pa.array(head, pa.int32())], names=names)
+            (words, edges), out = cut(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            ids, whose = m.numbers(words), np.repeat(np.arange(len(out)), np.diff(edges))
+            sums += np.bincount(ids[~out[whose]], minlength=len(sums))
+            sums[END] += (~out).sum()
+            far = ids == UNKNOWN
+            rare = words.filter(pa.array(far)).dictionary_encode()
+            if len(rare):
+                k = len(rare.dictionary)
+                pairs, times = np.unique(whose[far] * k + rare.indices.to_numpy(), return_counts=True)
+                rows, code = np.divmod(pairs, k)
+                head = np.diff(rows, prepend=-1) != 0
+                bits = np.repeat([_text_bits(t) for t in batch.column(1).take(pa.array(rows[head])).to_pylist()], np.diff(np.append(np.flatnonzero(head), len(rows))))
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(rare.dictionary)[code]), batch.column(0).take(pa.array(rows)), pa.array(bits, pa.int32()), pa.array(times, pa.int32()), pa.array(np.where(out[rows], 0, times), pa.int64()), pa.array(head.astype(np.int32))], names=names)
         seen = np.flatnonzero(sums)
         seen = seen[seen != UNKNOWN]
         if len(seen):
@@ -407,22 +443,17 @@ def log_likelihoods(docs: DataFrame, sample: int = 3000, model_words: int = 4096
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, (logs, have) = shared.value, tables.value
-        for batch in chunks(batches, 1, 8 << 20):
-            texts = batch.column(1).to_pylist()
-            numbers = []
-            n_tokens, n_known, base, other, n_other, bits = [], [], [], [], [], []
-            for t in texts:
-                words = tokens(t)
-                ids = np.append(m.numbers(words), END)
-                far = ids[ids >= m.own]
-                n_tokens.append(len(ids))
-                n_known.append(int(have[ids].sum()))
-                base.append(float(logs[ids].sum()))
-                other.append(float(logs[far].sum()))
-                numbers.append(np.where(ids >= m.own, UNKNOWN, ids))
-                n_other.append(int((numbers[-1] == UNKNOWN).sum()))
-                bits.append(_text_bits(t))
-            got = m.gru.score(numbers)
+        for batch in chunks(batches, 1, SCORED_BYTES):
+            words, edges = cut(batch.column(1))
+            ids, ends = np.insert(m.numbers(words), edges[1:], END), edges[1:] + np.arange(1, len(edges))
+            starts = np.append(0, ends[:-1])
+            of_text = lambda v: np.add.reduceat(v, starts)  # noqa: E731, B023
+            base, far = logs[ids], ids >= m.own
+            ids_own = np.where(far, UNKNOWN, ids)
+            got = m.gru.score(np.split(ids_own, starts[1:]))
+            bits = [_text_bits(t) for t in batch.column(1).to_pylist()]
+            n_tokens, n_known, n_other = ends - starts, of_text(have[ids].astype(np.int64)), of_text((ids_own == UNKNOWN).astype(np.int64))
+            base, other = of_text(base), of_text(np.where(far, base, 0.0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits, pa.int32()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(other, pa.float64()), pa.array(n_other, pa.int64()), pa.array(got, pa.float64())], names=["doc_id", "held_out", "bits", "n_tokens", "known", "base", "other", "n_other", "net"])
 
     scored = docs.mapInArrow(score, f"doc_id {kind}, held_out boolean, bits int, n_tokens bigint, known bigint, base double, other double, n_other bigint, net double")
