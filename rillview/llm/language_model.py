@@ -59,7 +59,7 @@ END_HASH = 0x7265_6375_7272_656E  # stands for the end token
 
 def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The tokens of all texts, one after the other, and where each text's begin and the last one's end."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
     edges, flat = lists.offsets.to_numpy(), lists.flatten()
     edges = edges - edges[0]
     full = pc.greater(pc.binary_length(flat), 0)  # whitespace around a text leaves empty strings

@@ -184,3 +184,4 @@ def test_tokens_are_those_of_bytes():
         words, edges = language_model.cut(pa.array(whole)[lo : len(texts)])
         got = [w.encode() for w in words.to_pylist()]
         assert [got[a:b] for a, b in zip(edges, edges[1:])] == want[lo:]
+    assert language_model.cut(pa.array(["A b"], pa.large_string()))[0].to_pylist() == ["a", "b"]
