@@ -62,7 +62,13 @@ def within(left: DataFrame, right: DataFrame, rows: int | None = None) -> DataFr
 
 
 def together(changes: list[Change]) -> Change:
-    return changes[0] if len(changes) == 1 else Change(union([c.frame for c in changes]), sum(c.rows for c in changes))
+    """One change of several. Written ones are read by one scan: a join is planned once, where the branches of a union would each get one, all in the same tasks."""
+    if len(changes) == 1:
+        return changes[0]
+    frames, rows = [c.frame for c in changes], sum(c.rows for c in changes)
+    if all(c.path for c in changes):
+        return Change(frames[0].sparkSession.read.schema(frames[0].schema).parquet(*[c.path for c in changes]), rows)
+    return Change(union(frames), rows)
 
 
 @dataclass

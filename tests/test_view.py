@@ -232,3 +232,24 @@ def test_changelog_survives_a_new_driver_and_a_failing_batch(spark, tmp_path):
     v3.push_fact("e", (1, 2))
     v3.poll()
     assert v3.contains("tc", (1, 4))
+
+
+def test_retracting_many_rows_joins_them_once(spark, monkeypatch):
+    """What was lost in many rounds is read by one scan: no plan holds a join for each round's rows in the same tasks."""
+    from rillview.operators import fixpoint
+
+    edges = [(n, n // 2) for n in range(1, 200)]
+    v = view(spark, TC, e=edges)
+    v.poll()
+    monkeypatch.setattr(fixpoint, "BROADCAST_ROWS", 10)
+    written, settle = [], fixpoint.Rounds.settle
+
+    def seen(self, frames):
+        written.extend(f._jdf.queryExecution().optimizedPlan().toString() for f in frames.values())
+        return settle(self, frames)
+
+    monkeypatch.setattr(fixpoint.Rounds, "settle", seen)
+    v.retract_fact("e", (3, 1))
+    v.poll()
+    assert rows(v.query("tc")) == closure([e for e in edges if e != (3, 1)])
+    assert max(p.count("Join") for p in written) <= 6
