@@ -7,7 +7,8 @@ written; where they are few, relations are only scanned past them (broadcast sem
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -20,6 +21,10 @@ from rillview.plans.terms import Atom, Rule
 
 #: Rows of a change up to which it is broadcast (each has a few columns).
 BROADCAST_ROWS = 20_000
+#: Bytes of a file, and of a shuffle, that one task reads: rows of few columns are short and compress well, so Spark's own 64 and 128 MB hold many millions of them.
+SPLIT, SHUFFLED = 16 << 20, 4 << 20
+#: Bytes of the files below a plan for which it has one shuffle partition more (these are coalesced up to SHUFFLED), and the most of them.
+SOURCE, MOST = 2 << 20, 20_000
 #: Stands for the rows that a re-derivation asks about, as a body atom.
 LOST = "@lost"
 
@@ -71,6 +76,35 @@ def together(changes: list[Change]) -> Change:
     return Change(union(frames), rows)
 
 
+def _source_bytes(frame: DataFrame) -> int:
+    """Bytes below a plan, as far as they are known (of an RDD they are not, which Spark writes as 2^63)."""
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(n for i in range(leaves.size()) if (n := int(str(leaves.apply(i).stats().sizeInBytes()))) < 1 << 62)
+
+
+@contextmanager
+def bounded(frame: DataFrame) -> Iterator[None]:
+    """While it lasts, what a task of the frame's plan reads, and so the memory of its sorts and hash tables, does not grow with the input; the number of tasks does."""
+    conf = frame.sparkSession.conf
+    have = int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or conf.get("spark.sql.shuffle.partitions"))
+    limits = {"spark.sql.files.maxPartitionBytes": SPLIT, "spark.sql.adaptive.advisoryPartitionSizeInBytes": SHUFFLED}
+    held = {k: str(v) for k, v in limits.items() if _bytes(frame, conf.get(k)) > v}
+    if (need := min(MOST, -(-_source_bytes(frame) // SOURCE))) > have:
+        held |= dict.fromkeys(("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"), str(need))
+    before = {k: conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
+def _bytes(frame: DataFrame, text: str) -> int:
+    return frame.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)
+
+
 @dataclass
 class Rounds:
     """Writes what rounds make below a shared folder, so that each plan starts from files: lineage and plans stay short, and a lost executor costs nothing."""
@@ -102,7 +136,8 @@ class Rounds:
         for p, f in frames.items():
             path, seen = f"{self.folder}/{uuid.uuid4().hex}", Observation()
             self.written.add(path)
-            f.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+            with bounded(f):
+                f.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
             if n := seen.get["n"]:
                 out[p] = Change(self.spark.read.schema(f.schema).parquet(path), n, path)
         return out
@@ -152,11 +187,15 @@ class Component:
         small = {at} if at is not None and change.rows <= BROADCAST_ROWS else set()
         return compile_rule(rule, sources, at, small)
 
-    def through(self, rules: list[Rule], changes: dict[str, Change], state: Callable[[str], DataFrame | None]) -> dict[str, list[DataFrame]]:
-        """Heads that the changes reach in one step, by relation."""
+    def through(self, rules: list[Rule], changes: dict[str, Change], state: Callable[[str], DataFrame | None], whole: set[str] = frozenset()) -> dict[str, list[DataFrame]]:
+        """Heads that the changes reach in one step, by relation. whole: relations that had no rows before, so that one place of theirs gives all heads of a rule."""
         out: dict[str, list[DataFrame]] = {}
         for rule in rules:
-            for i, atom in enumerate(rule.body):
+            places = range(len(rule.body))
+            if entire := [i for i in places if rule.body[i].symbol in whole and rule.body[i].symbol in changes]:
+                places = [min(entire, key=lambda i: changes[rule.body[i].symbol].rows)]
+            for i in places:
+                atom = rule.body[i]
                 if atom.symbol in changes and (made := self.evaluate(rule, i, changes[atom.symbol], state)) is not None:
                     out.setdefault(rule.head.symbol, []).append(made)
         return out
@@ -192,7 +231,8 @@ class Component:
         """Changes of this set's relations (rows in, rows out), not yet freed of each other. holding: those of a change's rows that are base facts."""
         gone = self.delete(base_minus, minus) if base_minus or minus or self.removed else {}
         self._leave(gone)
-        seeds = self.through(self.new_rules, plus, self.state)
+        known_rules = [r for r in self.new_rules if r not in self.added]  # an added rule is evaluated whole below
+        seeds = self.through(known_rules, plus, self.state, {p for p in plus if p not in self.names and self.old(p) is None})
         came: dict[str, list[Change]] = {}
         first: dict[str, Change] = {}
         for p, c in base_plus.items():

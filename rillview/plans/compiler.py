@@ -51,7 +51,7 @@ def join_order(rule: Rule, first: int | None) -> list[int]:
 
 
 def compile_rule(rule: Rule, sources: list[DataFrame], changed: int | None = None, small: set[int] = frozenset()) -> DataFrame:
-    """Distinct heads. sources: for each body atom; changed: the place of the atom that stands for a change; small: places whose counted size allows a broadcast."""
+    """The rule's heads, which may repeat. sources: for each body atom; changed: the place of the atom that stands for a change; small: places whose counted size allows a broadcast."""
     order = join_order(rule, changed)
     needed_after: list[set[str]] = []
     later = set(rule.head.variables)
@@ -89,7 +89,7 @@ def compile_rule(rule: Rule, sources: list[DataFrame], changed: int | None = Non
                 frame = frame.distinct()  # variables died: fewer rows enter the next join
         bound = {v: bound[v] for v in live}
     head = [literal(t.value) if isinstance(t, Const) else F.col(f"`{bound[t.name]}`") for t in rule.head.terms]
-    return frame.select(*[h.alias(c) for h, c in zip(head, columns(len(head)), strict=True)]).distinct()
+    return frame.select(*[h.alias(c) for h, c in zip(head, columns(len(head)), strict=True)])
 
 
 def empty(spark, types: list[T.DataType]) -> DataFrame:

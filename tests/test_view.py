@@ -253,3 +253,38 @@ def test_retracting_many_rows_joins_them_once(spark, monkeypatch):
     v.poll()
     assert rows(v.query("tc")) == closure([e for e in edges if e != (3, 1)])
     assert max(p.count("Join") for p in written) <= 6
+
+
+def test_memory_of_a_task_does_not_grow_with_what_is_pushed(spark, tmp_path, monkeypatch):
+    """Partitions follow the files below a plan, and settings are as before afterwards; a rule over new relations is joined once."""
+    from rillview.operators import fixpoint
+
+    spark.range(40000).selectExpr("id AS x", "id % 1000 AS y").write.parquet(f"{tmp_path}/e")
+    spark.range(1000).selectExpr("id AS x", "id % 7 AS y").write.parquet(f"{tmp_path}/f")
+    monkeypatch.setattr(fixpoint, "SOURCE", 10_000, raising=False)
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.files.maxPartitionBytes"]
+    before = [spark.conf.get(k, None) for k in keys]
+    held, plans, settle, parquet = [], [], fixpoint.Rounds.settle, type(spark.range(0).write).parquet
+
+    def seen(self, frames):
+        plans.extend(f._jdf.queryExecution().optimizedPlan().toString() for f in frames.values())
+        return settle(self, frames)
+
+    def writes(self, path, *more, **options):
+        held.append([spark.conf.get(k, None) for k in keys])
+        return parquet(self, path, *more, **options)
+
+    monkeypatch.setattr(fixpoint.Rounds, "settle", seen)
+    monkeypatch.setattr(type(spark.range(0).write), "parquet", writes)
+    v = MaterializedView(spark, ["r(?x, ?z) <- [e(?x, ?y), f(?y, ?z)]"])
+    for name in ("e", "f"):
+        v.push_df(name, spark.read.parquet(f"{tmp_path}/{name}"))
+    v.poll()
+    assert rows(v.query("r")) == {(n, n % 1000 % 7) for n in range(40000)}
+    assert max(int(h[0]) for h in held) > 4 and all(h[1] == str(4 << 20) and h[3] == str(16 << 20) for h in held)
+    assert [spark.conf.get(k, None) for k in keys] == before
+    assert max(p.count("Join") for p in plans) == 1
+    v.push_fact("f", (999, 8))
+    v.push_fact("e", (-1, 5))
+    v.poll()
+    assert rows(v.query_frontier("r")) == {(-1, 5, 1), *((n, 8, 1) for n in range(999, 40000, 1000))}
